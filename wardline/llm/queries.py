@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wardline.llm.abuse import severity, train
 from wardline.llm.mixing import mix
 from wardline.llm.tokens import token_counts, token_ids
 from wardline.sources.tables import table
@@ -25,5 +27,24 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _severities(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "source", "text")
+    return severity(documents, train(documents, table(spark, d, "moderation_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _severities(spark, d).where("found").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _severities(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, found ones, their rate and the mean severity per source."""
+    found = F.col("found").cast("int")
+    return _severities(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.sum(found).alias("found"), F.avg(found).alias("rate"), F.avg("severity").alias("mean_severity"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLES: dict[str, str] = {}
