@@ -83,11 +83,12 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     """Every source row that has a candidate, its likeliest record and the confidence."""
-    register = register_rows(spark, d)
     hospitals = hospital_rows(spark, d)
     hospitals = hospitals.withColumn("block", F.col("town")).withColumn("size", F.aggregate("beds", F.lit(0), lambda s, x: s + x))
-    found = [match(rows, register).withColumn("src_table", F.lit(name)) for name, rows in (("egen_evaluations", evaluation_rows(spark, d)), ("existing_hospitals", hospitals))]
-    return found[0].unionByName(found[1]).select("src_table", F.col("key").alias("src_key"), F.col("record").alias("care_symbol"), "confidence")
+    both = evaluation_rows(spark, d).withColumn("src_table", F.lit("egen_evaluations")).unionByName(hospitals.withColumn("src_table", F.lit("existing_hospitals")))
+    found = match(both.withColumn("key", F.concat_ws("|", "src_table", "key")), register_rows(spark, d))
+    parts = F.split("key", r"\|", 2)
+    return found.select(parts[0].alias("src_table"), parts[1].alias("src_key"), F.col("record").alias("care_symbol"), "confidence")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct strings per part of a block.
-PART = 4000
+PART = 1000
 
 
 class Trie:
@@ -117,5 +117,6 @@ def neighbours(queries: DataFrame, dictionary: DataFrame, forms: Forms, part: in
             }
         )
 
-    both = asked.unionByName(found)
+    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    both = asked.unionByName(found).repartition(tasks, "block", "q_part", "d_part")  # few bytes, much work: not to be coalesced
     return both.groupBy("block", "q_part", "d_part").applyInArrow(run, "block string, query string, word string, edits int")
