@@ -81,7 +81,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of ``refs`` whose ``ref_id`` has no parent, or none at their time, with a ``reason``.
 
     ``refs``: ``ref_id`` and ``ref_at`` (microseconds, may be null) beside any other
-    columns, which are kept (their names must not be those of the results). Reasons:
+    columns, which are kept; one named ``reason`` is replaced. Repeated rows give
+    repeated rows. Reasons:
     ``missing`` (no such parent, byte for byte), ``late`` (``ref_at`` before the parent
     was staged), ``deleted`` (at or after it was retired); the first that holds. A null
     ``ref_id`` refers to nothing and gives no row; a null ``ref_at`` can only be
@@ -91,15 +92,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     (combined before the shuffle, so a hot id is one row), these are matched to the
     runs, and only ids that can offend are joined back.
     """
-    refs = refs.where(F.col("ref_id").isNotNull())
+    refs = refs.where(F.col("ref_id").isNotNull()).drop("reason")
     ids = refs.groupBy("ref_id").agg(F.min("ref_at").alias("first_at"), F.max("ref_at").alias("last_at"))
     offends = F.col("missing") | (F.col("first_at") < F.col("staged")) | (F.col("last_at") >= F.col("retired"))
-    flagged = cut(match_runs(ids, key_runs(parents)).where(offends).select("ref_id", "missing", "staged", "retired"))
+    span = F.struct("missing", "staged", "retired").alias("__span")
+    flagged = cut(match_runs(ids, key_runs(parents)).where(offends).select("ref_id", span))
     size = flagged.agg(F.sum(F.length("ref_id") + 48)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         met = refs.join(F.broadcast(flagged), "ref_id")
     else:
-        salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = refs.withColumn("salt", (F.rand(7) * SALTS).cast("int")).join(salted, ["ref_id", "salt"]).drop("salt")
-    reason = F.when(F.col("missing"), "missing").when(F.col("ref_at") < F.col("staged"), "late").when(F.col("ref_at") >= F.col("retired"), "deleted")
-    return met.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("missing", "staged", "retired")
+        salted = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = refs.withColumn("__salt", F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)).cast("int")).join(salted, ["ref_id", "__salt"]).drop("__salt")
+    reason = F.when(F.col("__span.missing"), "missing").when(F.col("ref_at") < F.col("__span.staged"), "late").when(F.col("ref_at") >= F.col("__span.retired"), "deleted")
+    return met.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("__span")

@@ -203,14 +203,14 @@ def parse_records(df: DataFrame, text: str, fields: tuple[Field, ...], prefix: s
     ``quoting``, ``column_count``, ``invalid_value``; null for a valid row. A rejected
     row has null fields. With one declared field the text is a value, not a record.
     A null record counts as an empty one (a null value is invalid). All columns of
-    ``df`` are kept; the new ones carry ``prefix``, which the caller chooses so that no
-    name clashes (a clash raises ValueError). Nothing is dropped: rows out = rows in.
+    ``df`` are kept but those named like a new one (``prefix`` and field name, or
+    ``reject_reason``, in any case), which the new one replaces. Repeated rows stay
+    repeated, an empty table gives an empty one: rows out = rows in.
     """
     added = [T.StructField(prefix + f.name, f.spark_type) for f in fields] + [T.StructField("reject_reason", T.StringType())]
-    clash = {f.name.lower() for f in added} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    schema = T.StructType([*df.schema.fields, *added])
+    new = {f.name.lower() for f in added}
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
+    schema = T.StructType([*[df.schema.fields[i] for i in kept], *added])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,6 @@ def parse_records(df: DataFrame, text: str, fields: tuple[Field, ...], prefix: s
                 continue
             columns = [pa.concat_arrays([c[0][i] for c in out]) for i in range(len(fields))]
             reasons = pa.concat_arrays([c[1] for c in out])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns, reasons], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *columns, reasons], names=schema.names)
 
     return df.mapInArrow(run, schema)
