@@ -212,13 +212,10 @@ def severity(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataF
     """``docs`` without ``text``, with ``p_grade_0 .. p_grade_3``, ``severity`` (their mean grade, 0 to 3) and ``found``.
 
     Whole texts are scored. An empty, blank or null text has severity 0. Rows and other
-    columns are kept; a clash of names raises ValueError.
+    columns are kept, but those named like a new one are replaced.
     """
     added = [f"p_grade_{g}" for g in range(GRADES)] + ["severity"]
-    kept = [f for f in docs.schema.fields if f.name != text]
-    clash = {f.name.lower() for f in kept} & {*added, "found"}
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in {*added, "found"}]
     names = [f.name for f in kept]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

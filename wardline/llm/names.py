@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 # The letters of a Hangul syllable in code order, and their Latin transcription.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -120,7 +120,7 @@ def distance(a: str, b: str, most: int) -> int:
 _SPELLED_KINDS = {k: spelled(k) for k in KINDS if len(k) >= 2}
 
 
-@cache
+@lru_cache(50_000)
 def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
     """(rest, kind) of a Hangul name without spaces: its exact ending, and a longer or only misspelt one.
 

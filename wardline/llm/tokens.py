@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Pieces kept in a worker's memory; the memory is emptied when it is full.
 PIECES_KEPT = 100_000
+#: Answers on pairs of tokens kept in a worker's memory.
+PAIRS_KEPT = 200_000
 #: Longer pieces (in characters) are encoded anew each time.
 PIECE_KEPT_CHARS = 40
 
@@ -68,7 +70,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.compatible = cache(self._compatible)
+        self.compatible = lru_cache(PAIRS_KEPT)(self._compatible)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(part, rank of the merge that consumes it) down one edge of the token's merge tree."""
@@ -139,12 +141,12 @@ def token_ids(df: DataFrame, text: str = "text", ids: str = "ids", path: str | N
     Empty and null texts both give an empty list. Whole texts are encoded; strings of
     special tokens in a text are ordinary text. ``path`` and ``pattern`` default to the
     public vocabulary byte_bpe_50k and its pattern. All other columns and all rows are
-    kept, repeated ones too; a column named like ``ids`` raises ValueError.
+    kept, repeated ones too; a column named like ``ids`` is replaced. An empty table
+    gives an empty one.
     """
-    if ids.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column exists already: {ids}")
     path, pattern = path or vocabulary_path(), pattern or _pattern()
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = [i for i, c in enumerate(df.columns) if c.lower() != ids.lower()]
+    schema = T.StructType([*[df.schema.fields[i] for i in kept], T.StructField(ids, T.ArrayType(T.IntegerType()))])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +156,11 @@ def token_ids(df: DataFrame, text: str = "text", ids: str = "ids", path: str | N
             offsets = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
             flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def token_counts(df: DataFrame, text: str = "text", count: str = "tokens", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` without ``text`` and with the number of its tokens (0 for empty and null); see ``token_ids``."""
-    if count.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column exists already: {count}")
-    return token_ids(df, text, "__ids", path, pattern).withColumn(count, F.size("__ids").cast("long")).drop("__ids", text)
+    """``df`` without ``text`` and with the number of its tokens (0 for empty and null); see ``token_ids``. A column named like ``count`` is replaced."""
+    return token_ids(df.drop(count) if count != text else df, text, "__ids", path, pattern).withColumn("__n", F.size("__ids").cast("long")).drop("__ids", text).withColumnRenamed("__n", count)
