@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,12 @@ FEATURES = 1 << 18
 #: Grades: 0 nobody flagged it, 1 reviewers disagree, 2 one reviewer flagged it, 3 several did and nobody objected.
 GRADES = 4
 #: Expected severity from which a document counts as found.
-FOUND_SEVERITY = 1.5
+FOUND_SEVERITY = 1.0
+#: A feature counts fully if flagged documents hold this many times more of its occurrences in the corpus than of an average feature's.
+FULL_LIFT = 8.0
+LEAST_WORTH = 0.02
+#: Features added to a segment's number of them before its score is divided by the root of it: a word alone weighs little.
+SHORT = 10
 #: Segment scores kept in a worker's memory.
 SEGMENTS_KEPT = 200_000
 
@@ -109,7 +116,7 @@ class SeverityModel:
         score = self._kept.get(words)
         if score is None:
             f = features(words)
-            score = float(self.weights[f].sum() / np.sqrt(len(f))) if len(f) else 0.0
+            score = float(self.weights[f].sum() / np.sqrt(len(f) + SHORT)) if len(f) else 0.0
             if len(self._kept) >= SEGMENTS_KEPT:
                 self._kept.clear()
             self._kept[words] = score
@@ -127,13 +134,17 @@ class SeverityModel:
         return {"weights": self.weights, "thresholds": self.thresholds, "_kept": {}}
 
 
-def fit(texts: list[list[tuple[str, ...]]], grades: np.ndarray, steps: int = 250, penalty: float = 0.1, rate: float = 0.05, mistaken: float = 0.08) -> SeverityModel:
+def fit(texts: list[list[tuple[str, ...]]], grades: np.ndarray, steps: int = 250, penalty: float = 0.03, rate: float = 0.05, mistaken: float = 0.08, counts: np.ndarray | None = None, documents: int = 0) -> SeverityModel:
     """Maximum penalized likelihood of the grades by gradient steps (Adam).
 
     The worst segment of a document is chosen anew in each step; before that, in the
     first tenth of the steps, all of its segments share the gradient. A share
     ``mistaken`` of the grades is taken as drawn at random (in the later steps), so
     that documents whose grade nothing in their text explains lose their pull.
+
+    ``counts`` are the features' occurrences in the segments of all ``documents``: the
+    sample is small, but a feature that the corpus holds far more often than flagged
+    documents do cannot be what they are flagged for, and gets a small scale.
     """
     distinct: dict[tuple[str, ...], int] = {}
     owner, segment = [], []
@@ -146,14 +157,23 @@ def fit(texts: list[list[tuple[str, ...]]], grades: np.ndarray, steps: int = 250
     lengths = np.array([len(f) for f in feats], np.int64)
     columns = np.concatenate(feats) if feats else np.zeros(0, np.int32)
     rows = np.repeat(np.arange(len(feats), dtype=np.int32), lengths)
-    scale = 1 / np.sqrt(np.maximum(lengths, 1))
+    norm = 1 / np.sqrt(lengths + SHORT)
+    worth = np.ones(FEATURES)
+    if counts is not None and documents:
+        flagged = np.zeros(FEATURES)
+        for i in np.flatnonzero(grades >= 2):
+            if texts[i]:
+                flagged[np.unique(np.concatenate([feats[distinct[w]] for w in texts[i]]))] += 1
+        lift = (flagged + 0.05) / (counts * (np.sum(grades >= 2) / documents) + 1)
+        worth = np.clip(np.sqrt(lift / FULL_LIFT), LEAST_WORTH, 1)
+    values = worth[columns]
     n = len(texts)
     weights, cuts = np.zeros(FEATURES), np.array([0.5] + [np.log(0.7)] * (GRADES - 2))
     m, v = np.zeros(FEATURES + GRADES - 1), np.zeros(FEATURES + GRADES - 1)
     chance = np.bincount(grades, minlength=GRADES)[grades] / max(n, 1)
     per_doc = np.maximum(np.bincount(owner, minlength=n), 1)
     for step in range(1, steps + 1):
-        scores = np.bincount(rows, weights[columns], minlength=len(feats)) * scale
+        scores = np.bincount(rows, weights[columns] * values, minlength=len(feats)) * norm
         eta, share = np.full(n, -4.0), np.zeros(len(owner))
         if step <= steps // 10:
             eta = np.bincount(owner, scores[segment], minlength=n) / per_doc
@@ -178,12 +198,12 @@ def fit(texts: list[list[tuple[str, ...]]], grades: np.ndarray, steps: int = 250
         for k in range(GRADES - 1):
             d_thresholds[k] = (-(d_high[grades == k].sum()) + d_low[grades == k + 1].sum()) / n
         d_cuts = np.r_[d_thresholds.sum(), [d_thresholds[k:].sum() * np.exp(cuts[k]) for k in range(1, GRADES - 1)]]
-        d_segment = np.bincount(segment, share * d_eta[owner], minlength=len(feats)) * scale
-        gradient = np.r_[np.bincount(columns, d_segment[rows], minlength=FEATURES) + penalty / n * weights, d_cuts]
+        d_segment = np.bincount(segment, share * d_eta[owner], minlength=len(feats)) * norm
+        gradient = np.r_[np.bincount(columns, d_segment[rows] * values, minlength=FEATURES) + penalty / n * weights, d_cuts]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, cuts = weights - move[:FEATURES], cuts - move[FEATURES:]
-    return SeverityModel(weights.astype(np.float32), np.cumsum(np.r_[cuts[0], np.exp(cuts[1:])]))
+    return SeverityModel((weights * worth).astype(np.float32), np.cumsum(np.r_[cuts[0], np.exp(cuts[1:])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -196,8 +216,40 @@ def graded(labels: DataFrame) -> DataFrame:
     return said.select("doc_id", grade.alias("grade"))
 
 
+def feature_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Occurrences of each feature in the segments of all documents, and the number of documents.
+
+    Counted in the tasks and summed by feature; what reaches the driver is one number
+    per feature of the fixed hash space.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, n = np.zeros(FEATURES, np.int64), Counter(), 0
+
+        def empty() -> None:
+            for words, times in seen.items():
+                counts[features(words)] += times
+            seen.clear()
+
+        for batch in batches:
+            n += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                seen.update(segments(t))
+            if len(seen) >= SEGMENTS_KEPT:
+                empty()
+        empty()
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[n, counts[at]], pa.int64())], names=["feature", "n"])
+
+    sums = docs.select(text).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(FEATURES)
+    known = sums[sums.feature >= 0]
+    counts[known.feature.to_numpy()] = known.n.to_numpy()
+    return counts, int(sums.n[sums.feature < 0].sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> SeverityModel:
-    """A model from the labelled documents, at most ``max_labelled`` of them.
+    """A model from the labelled documents, at most ``max_labelled`` of them, and the feature counts of all documents.
 
     Without any usable label all documents get severity 0.
     """
@@ -205,7 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if known.empty:
         return SeverityModel(np.zeros(FEATURES, np.float32), np.full(GRADES - 1, 30.0))
-    return fit([segments(t) for t in known.text], known.grade.to_numpy(np.int64))
+    counts, documents = feature_counts(docs)
+    return fit([segments(t) for t in known.text], known.grade.to_numpy(np.int64), counts=counts, documents=documents)
 
 
 def severity(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
