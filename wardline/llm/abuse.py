@@ -15,6 +15,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ _SIGNS = str.maketrans("013457$@", "oieastsa")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_](?:[ _.*\-]|\s)){3,}[^\W\d_](?!\w)")
 _GAP = re.compile(r"[\s_.*\-]+")
 _INNER = re.compile(r"(?<=[^\W_])[_.*#'’\-](?=[^\W_])")
+_INVISIBLE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cf") + "\U000e0001-\U000e007f]")
 _END = re.compile(r"(?:[.!?。…]+(?=\s|$)|[\n\r]+)\s*")
 _WORD = re.compile(r"[\w$@]+|['\"`‘’“”]")
 _RUN = re.compile(r"(.)\1+")
@@ -63,23 +65,25 @@ def segments(text: str | None) -> list[tuple[str, ...]]:
     """
     if not text:
         return []
-    text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").lower().translate(_LOOKALIKES)
+    text = text.lower()
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_LOOKALIKES)
     text = _SPACED.sub(lambda m: _GAP.sub("", m.group()), text)
     seen: dict[tuple[str, ...], None] = {}
     for part in _END.split(text):
-        part = _INNER.sub("", part)
-        words = []
-        for word in _WORD.findall(part):
-            if not any(c.isalpha() for c in word) or _NUMBERED.fullmatch(word) or 2 * sum(map(str.isdigit, word)) > len(word):
-                word = _DIGITS.sub("0", word)
-            else:
-                word = _RUN.sub(r"\1", word.translate(_SIGNS))
-            words.append(word)
+        words = tuple(map(_word, _WORD.findall(_INNER.sub("", part))))
         if words:
-            seen[tuple(words)] = None
+            seen[words] = None
     return list(seen)
 
 
+@lru_cache(100_000)
+def _word(word: str) -> str:
+    if not any(c.isalpha() for c in word) or _NUMBERED.fullmatch(word) or 2 * sum(map(str.isdigit, word)) > len(word):
+        return _DIGITS.sub("0", word)
+    return _RUN.sub(r"\1", word.translate(_SIGNS))
+
+
 def _key(word: str) -> str:
     """A word up to the order of its letters, so that swapped letters leave it as it is."""
     return word if len(word) < 4 or _HANGUL.search(word) else "".join(sorted(set(word)))
