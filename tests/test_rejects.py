@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wardline.operators.rejects import DEMAND_FIELDS, Field, _parse, parse_records, split_record
+from wardline.operators.rejects import DEMAND_FIELDS, Field, _parse, _typed, _value, parse_records, split_record
 
 GOOD = '6102000073,"한울도 ""솔뫼시"", 동",61020,"9,460",3349,33.06,130.35,x,y,,ok,ok'
 
@@ -72,6 +72,13 @@ def test_blocks_equal_single_records(records):
     assert run(records, two) == [r for x in records for r in run([x], two)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text('0129 \t,.-+e３', max_size=12), st.sampled_from([DEMAND_FIELDS[0], DEMAND_FIELDS[3], DEMAND_FIELDS[5], Field("x")]))
+def test_strict_and_columnar_rules_agree(text, field):
+    column = _typed(pa.array([text], pa.string()), field)
+    assert _value(text, field) == (column[0].as_py(), True) if column is not None else not _value(text, field)[1]
+
+
 def test_table_is_kept_whole(spark):
     rows = [(1, "﻿" + GOOD + "\r"), (1, "﻿" + GOOD + "\r"), (2, "bad"), (3, None), (4, "x" * 300_000)]
     df = spark.createDataFrame(rows, "line_id long, c0 string").withColumn("Reject_Reason", F.lit("old")).withColumn("p_population", F.lit("old"))

@@ -7,6 +7,7 @@ records stand alone; only these go through the strict reader that names the reas
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +20,11 @@ from pyspark.sql import types as T
 #: Records of the first, largest block.
 BLOCK = 256
 #: Blocks this small are diagnosed record by record.
-LEAF = 4
+LEAF = 16
 
 COUNT = r"(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})*)"
 DECIMAL = r"-?[0-9]+(?:\.[0-9]*)?|-?\.[0-9]+"
+_COUNT, _DECIMAL = re.compile(COUNT), re.compile(DECIMAL)
 
 
 @dataclass(frozen=True)
@@ -137,7 +139,7 @@ def _bulk(records: pa.Array, fields: tuple[Field, ...]) -> list[pa.Array] | None
     else:
         if not pc.all(pc.match_substring_regex(records, _shape(len(fields)))).as_py():
             return None
-        data = b"\n".join(x.as_buffer().to_pybytes() for x in records) + b"\n"
+        data = ("\n".join(records.to_pylist()) + "\n").encode()
         try:
             parsed = pyarrow.csv.read_csv(
                 pa.BufferReader(data),
@@ -159,6 +161,25 @@ def _bulk(records: pa.Array, fields: tuple[Field, ...]) -> list[pa.Array] | None
     return typed
 
 
+def _value(text: str, field: Field) -> tuple[object, bool]:
+    """One value in the field's type, and whether it is valid; the same rules as ``_typed``."""
+    if field.kind == "text":
+        return text, True
+    text = text.strip(" \t")
+    if field.kind == "digits":
+        return text, len(text) == field.width and text.isascii() and text.isdigit()
+    if field.kind == "count":
+        plain = text.replace(",", "").lstrip("0") if _COUNT.fullmatch(text) else "x"
+        good = len(plain) <= 9 and plain != "x" and int(plain or 0) <= field.high
+        return (int(plain or 0) if good else None), good
+    if text == "":
+        return None, True
+    if not _DECIMAL.fullmatch(text):
+        return None, False
+    number = float(text)
+    return number, field.low <= number <= field.high
+
+
 def _strict(record: str | None, fields: tuple[Field, ...]) -> tuple[list, str | None]:
     """Typed values and the reason of one record, null values if there is a reason."""
     nothing = [None] * len(fields)
@@ -172,13 +193,8 @@ def _strict(record: str | None, fields: tuple[Field, ...]) -> tuple[list, str |
             return nothing, "quoting"
         if len(values) != len(fields):
             return nothing, "column_count"
-    typed = []
-    for value, field in zip(values, fields):
-        done = _typed(pa.array([value], pa.string()), field)
-        if done is None:
-            return nothing, "invalid_value"
-        typed.append(done[0].as_py())
-    return typed, None
+    typed = [_value(value, field) for value, field in zip(values, fields)]
+    return ([v for v, _ in typed], None) if all(good for _, good in typed) else (nothing, "invalid_value")
 
 
 def _parse(records: pa.Array, fields: tuple[Field, ...], out: list[tuple[list[pa.Array], pa.Array]]) -> None:
