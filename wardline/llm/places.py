@@ -108,4 +108,4 @@ def evidence(a: str, b: str) -> Column:
     bed = lambda s, i: F.get(F.col(f"{s}.beds"), F.lit(i))
     emergency = F.when(bed(a, 0).isNull() | bed(b, 0).isNull() | bed(a, 1).isNull() | bed(b, 1).isNull(), 0.0).when((bed(a, 0) == bed(b, 0)) & (bed(a, 1) == bed(b, 1)), 2.0).otherwise(-2.5)
     wards = F.when(bed(a, 2).isNull() | bed(b, 2).isNull(), 0.0).when(F.abs(bed(a, 2) - bed(b, 2)) <= F.greatest(F.lit(8), bed(a, 2) * 0.04), 1.0).otherwise(-2.0)
-    return both("phone", 3.0, -2.0) + both("road", 3.0, -2.5) + both("lot", 3.0, -1.5) + both("postal", 1.5, -1.0) + near + emergency + wards
+    return both("phone", 4.0, -2.0) + both("road", 3.5, -2.5) + both("lot", 3.0, -1.5) + both("postal", 1.5, -1.0) + near + emergency + wards

@@ -86,6 +86,7 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         stars = spread.join(groups.withColumnRenamed("key", "key_b"), ["block", "token", "core", "kind"]).where(F.col("key") != F.col("key_b"))
         met = met.unionByName(stars.select(F.least("key", "key_b").alias("key_a"), F.greatest("key", "key_b").alias("key_b"), F.col("kind").alias("kind_a"), F.col("kind").alias("kind_b"), F.lit(0).alias("edits")))
     else:
+        met = cut(met)
         stars = spread.join(groups.withColumnRenamed("key", "head"), ["block", "token", "core", "kind"]).where(F.col("key") != F.col("head"))
         met = met.unionByName(
             stars.join(met.withColumnRenamed("key_a", "head").withColumnRenamed("kind_a", "kind"), ["head", "kind"]).select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits")
@@ -97,7 +98,7 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         bearers = of_right.join(rare, ["block", "core", "kind"]).select("block", F.col("core").alias("word"), F.col("kind").alias("kind_b"), F.col("key").alias("key_b"))
         alike = named(left).join(near.where(F.col("edits") <= 1).withColumnRenamed("query", "core"), ["block", "core"]).join(bearers, ["block", "word"])
         met = met.unionByName(alike.where(same_kind(F.col("kind"), F.col("kind_b"))).select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits"))
-    met = met.groupBy("key_a", "key_b").agg(F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b")).alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
+    met = cut(met).groupBy("key_a", "key_b").agg(F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b")).alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
     keyed = lambda rows, side: rows.select(F.col("key").alias(f"key_{side}"), F.struct(*rows.columns).alias(side))
     return met.join(keyed(left, "a"), "key_a").join(keyed(left if own else right, "b"), "key_b")
 
@@ -110,13 +111,17 @@ def link_points() -> Column:
 
 
 def variant_classes(rows: DataFrame, points: float = LINK_POINTS) -> DataFrame:
-    """``key, class_id`` of every row that is linked to another; see ``folded`` for the columns of ``rows``.
+    """``key, class_id`` of every row that is linked to another; see ``folded`` for the columns of ``rows``."""
+    return linked_classes(cut(folded(rows)), points)
+
+
+def linked_classes(plain: DataFrame, points: float = LINK_POINTS) -> DataFrame:
+    """``key, class_id`` of every folded row that is linked to another.
 
     Rows of different ``block`` are never linked (the block is a fact, not a guess).
     A row without a readable name, or with nothing about its place, is in no class.
     A row whose kind is unknown joins houses of one kind only, those it agrees with most.
     """
-    plain = cut(folded(rows))
     links = candidate_links(plain).withColumn("points", link_points()).where(F.col("points") >= points)
     links = cut(links.select("key_a", "key_b", "kind_a", "kind_b", "points"))
     unsure = links.where((F.col("kind_a") == "") != (F.col("kind_b") == ""))
