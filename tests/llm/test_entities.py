@@ -101,6 +101,26 @@ def test_a_crowd_of_equal_rows_is_linked_by_a_star(spark):
     assert variants.variant_classes(df).select("class_id").distinct().count() == 1
 
 
+def test_rows_of_one_name_are_compared_though_their_head_differs(spark):
+    bed = dict(name="나다라종합병원", beds=[3, 4, None])
+    data = [
+        ("1", bed | dict(phone="888-8888", addresses=["가람시 먼길 9"], postal="11111")),  # another house, but of the same bed token
+        ("2", bed | dict(phone="081-224-1903", postal="22222")),
+        ("3", bed | dict(phone="999-9999", postal="22222")),  # links to 2 by beds and postal code only
+        ("4", bed | dict(phone="081-224-1903", postal="22222")),
+        ("5", bed | dict(name=None)),
+    ]
+    assert {r.key: r.class_id for r in variants.variant_classes(rows(spark, data)).collect()} == {k: "2" for k in "234"}
+
+
+def test_crowded_tokens_are_met_in_parts(spark, monkeypatch):
+    data = [(f"k{i:02d}", HOUSE | dict(name="나다라종합병원" if i % 2 else "나다마종합병원", lat=35.0 + i * 1e-6)) for i in range(30)]
+    pairs = lambda: {(r.key_a, r.key_b) for r in variants.candidate_links(places.folded(rows(spark, data))).select("key_a", "key_b").collect()}
+    whole = pairs()
+    monkeypatch.setattr(variants, "CROWD", 4)
+    assert pairs() == whole == set(itertools.combinations([k for k, _ in data], 2))
+
+
 def exact_marginals(cands, shared):
     """By enumeration over all assignments."""
     total, each = 0.0, [0.0] * len(cands)

@@ -7,7 +7,7 @@ token of place are compared; agreeing ones are linked and the links closed into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
@@ -20,6 +20,8 @@ from wardline.session import cut
 LINK_POINTS = 3.0
 #: Keys of one name that are handled as one row when a class is written out in pairs.
 CHUNK = 500
+#: Rows under one token and word that are met in one task; of more, each part is met apart.
+CROWD = 500
 
 
 def spellings(core: str, asked: bool) -> list[tuple[str, int]]:
@@ -46,11 +48,21 @@ def same_kind(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "") | part
 
 
+def _met(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on ``on``; crowded keys of ``targets`` are split into parts that the rows meet one by one."""
+    crowded = targets.groupBy(*on).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = targets.join(crowded, on, "left").withColumn("part", F.pmod(F.xxhash64("key_b"), parts).cast("int")).drop("parts")
+    asked = rows.join(crowded, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return asked.join(dealt, [*on, "part"])
+
+
 def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: int = 0) -> DataFrame:
     """``a, b`` (folded rows), ``edits, kind_a, kind_b``: rows of near names and compatible kinds that share a place token.
 
-    Of the rows with one token, core and kind only one stands for all; it is linked to
-    each of the others, so that a crowd of equal rows gives as many links as rows. With
+    Of the rows equal in all but their key one stands for all; it is linked to each of
+    the others, so that a crowd of equal rows gives as many links as rows. Rows that
+    differ in any evidence are all compared. With
     ``right`` the links go from rows of ``left`` to all rows of ``right``; ``by_name``
     then also takes rows that share no token but whose names differ by one letter at
     most, if fewer than ``by_name`` rows of ``right`` in the block bear that name.
@@ -59,7 +71,11 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         return rows.withColumn("reading", F.explode("readings")).select("key", "block", F.col("reading.core").alias("core"), F.col("reading.kind").alias("kind"), F.explode(place_tokens()).alias("token"))
 
     own = right is None
-    spread = cut(opened(left))
+    if own:
+        alike_rows = Window.partitionBy(*(c for c in left.columns if c != "key"))
+        headed = cut(left.where(F.size("readings") > 0).withColumn("head", F.min("key").over(alike_rows)))
+        heads = headed.where(F.col("key") == F.col("head")).drop("head")
+    spread = cut(opened(heads if own else left))
     other = spread if own else cut(opened(right))
     words = spread.select("block", F.col("core").alias("word")).distinct()
     near = neighbours(words, words, spellings)
@@ -71,11 +87,11 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         back = neighbours(latin, words, spellings).select("block", F.col("word").alias("query"), F.col("query").alias("word"), "edits")
         near = near.unionByName(back).groupBy("block", "query", "word").agg(F.min("edits").alias("edits"))
     near = cut(near)
-    groups = spread.groupBy("block", "token", "core", "kind").agg(F.min("key").alias("key"))
+    groups = spread.distinct() if own else spread.groupBy("block", "token", "core", "kind").agg(F.min("key").alias("key"))
     targets = groups if own else other.select("block", "token", "core", "kind", "key").distinct()
+    targets = targets.select("block", "token", F.col("core").alias("word"), F.col("kind").alias("kind_b"), F.col("key").alias("key_b"))
     met = (
-        groups.join(near.withColumnRenamed("query", "core"), ["block", "core"])
-        .join(targets.select("block", "token", F.col("core").alias("word"), F.col("kind").alias("kind_b"), F.col("key").alias("key_b")), ["block", "token", "word"])
+        _met(groups.join(near.withColumnRenamed("query", "core"), ["block", "core"]), targets, ["block", "token", "word"])
         .where(same_kind(F.col("kind"), F.col("kind_b")))
         .select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits")
     )
@@ -83,8 +99,9 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         first = F.col("key_a") < F.col("key_b")  # a transcription is asked for in one direction only
         turned = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("key_a", "key_b"), ("key_b", "key_a"), ("kind_a", "kind_b"), ("kind_b", "kind_a"))]
         met = met.where(F.col("key_a") != F.col("key_b")).select(*turned, "edits")
-        stars = spread.join(groups.withColumnRenamed("key", "key_b"), ["block", "token", "core", "kind"]).where(F.col("key") != F.col("key_b"))
-        met = met.unionByName(stars.select(F.least("key", "key_b").alias("key_a"), F.greatest("key", "key_b").alias("key_b"), F.col("kind").alias("kind_a"), F.col("kind").alias("kind_b"), F.lit(0).alias("edits")))
+        kind = F.array_max(F.col("readings.kind"))
+        stars = headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), kind.alias("kind_a"), kind.alias("kind_b"), F.lit(0).alias("edits"))
+        met = met.unionByName(stars)
     else:
         met = cut(met)
         stars = spread.join(groups.withColumnRenamed("key", "head"), ["block", "token", "core", "kind"]).where(F.col("key") != F.col("head"))
