@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -113,6 +114,18 @@ def test_rows_of_one_name_are_compared_though_their_head_differs(spark):
     assert {r.key: r.class_id for r in variants.variant_classes(rows(spark, data)).collect()} == {k: "2" for k in "234"}
 
 
+def test_every_pair_whose_position_counts_is_a_candidate(spark):
+    near = dict(name="나다라종합병원", lat=35.0, lon=127.0)
+    data = []
+    for i in range(24):  # pairs 0.11 km apart, wherever the grid lies and whatever the latitude
+        lat, lon = 33.0 + i * 0.41337, 126.0 + i * 0.07773
+        away = 0.11 / 111.19
+        data += [(f"{i:02d}a", near | dict(block=f"b{i}", lat=lat, lon=lon)), (f"{i:02d}b", near | dict(block=f"b{i}", lat=lat + away * (i % 2), lon=lon + away * (1 - i % 2) / math.cos(math.radians(lat))))]
+    data += [("p1", dict(name="나다라종합병원", block="p", postal="11111")), ("p2", dict(name="나다라종합병원", block="p", postal="11111"))]
+    got = {r.key: r.class_id for r in variants.variant_classes(rows(spark, data)).collect()}
+    assert got == {k: k[:2] + "a" for k, _ in data[:-2]} | {"p1": "p1", "p2": "p1"}
+
+
 def test_crowded_tokens_are_met_in_parts(spark, monkeypatch):
     data = [(f"k{i:02d}", HOUSE | dict(name="나다라종합병원" if i % 2 else "나다마종합병원", lat=35.0 + i * 1e-6)) for i in range(30)]
     pairs = lambda: {(r.key_a, r.key_b) for r in variants.candidate_links(places.folded(rows(spark, data))).select("key_a", "key_b").collect()}

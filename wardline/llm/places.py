@@ -16,8 +16,10 @@ _ROAD = re.compile(r"([가-힣]+)\s*([로길])\s*(\d*)\s*(?:번\s*길)?\s*(\d*)\
 _FLOOR = re.compile(r"\([^)]*\)?|,.*|지?하?\s?\d+\s*층.*|본관|별관|응급실")
 _LOT = re.compile(r"([가-힣]+(?:동|읍|면|리|가))\s+(\d+(?:-\d+)?)\s*(?:번지)?(?![\d로길])")
 
-#: Half the width of the cells that near rows share, in km.
-NEAR_KM = 0.06
+#: Distance up to which a position speaks for a pair, in km; the cells that near rows share are twice as wide.
+NEAR_KM = 0.12
+#: Cosine of 43 degrees, the most northern latitude of a usable position; farther south cells are wider than need be.
+LEAST_COSINE = 0.731
 
 
 def road_key(address: str | None) -> str | None:
@@ -79,16 +81,21 @@ def folded(rows: DataFrame) -> DataFrame:
 
 
 def place_tokens(near_km: float = NEAR_KM) -> Column:
-    """Tokens that rows of one place share: phone, road, lot, beds, and cells of the four
-    grids shifted by half a cell, of which points within half a cell share one."""
+    """Tokens that rows of one place share: phone, road, lot, postal code, beds, and cells of the four
+    grids shifted by half a cell, of which points within half a cell share one.
+
+    Rows without a common token have at most the points of their names, kinds and wards,
+    which do not link them.
+    """
     step_lat = 2 * near_km / KM_PER_DEGREE
-    step_lon = step_lat / 0.77  # cosine of 39.6 degrees, a middle latitude; the exact distance is judged later
+    step_lon = step_lat / LEAST_COSINE  # the exact distance is judged later
     cells = [
         F.when(F.col("lat").isNotNull(), F.concat_ws(" ", F.lit(f"G{i}{j}"), F.floor(F.col("lat") / step_lat + i / 2), F.floor(F.col("lon") / step_lon + j / 2)))
         for i in (0, 1)
         for j in (0, 1)
     ]
     named = [F.when(F.col(c).isNotNull(), F.concat(F.lit(c[0].upper()), F.col(c))) for c in ("phone", "road", "lot")]
+    named.append(F.when(F.col("postal").isNotNull(), F.concat(F.lit("Z"), F.col("postal"))))
     beds = F.when(F.size("beds") >= 2, F.when(F.get("beds", F.lit(0)).isNotNull() & F.get("beds", F.lit(1)).isNotNull(), F.concat_ws(" ", F.lit("B"), F.get("beds", F.lit(0)), F.get("beds", F.lit(1)))))
     return F.array_compact(F.array(*named, *cells, beds))
 
@@ -104,7 +111,7 @@ def evidence(a: str, b: str) -> Column:
         return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, equal).otherwise(unequal)
 
     km = haversine_km(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
-    near = F.when(km.isNull(), 0.0).when(km <= 0.12, 1.5).when(km <= 0.25, 0.0).when(km <= 1.0, -2.5).otherwise(-6.0)
+    near = F.when(km.isNull(), 0.0).when(km <= NEAR_KM, 1.5).when(km <= 0.25, 0.0).when(km <= 1.0, -2.5).otherwise(-6.0)
     bed = lambda s, i: F.get(F.col(f"{s}.beds"), F.lit(i))
     emergency = F.when(bed(a, 0).isNull() | bed(b, 0).isNull() | bed(a, 1).isNull() | bed(b, 1).isNull(), 0.0).when((bed(a, 0) == bed(b, 0)) & (bed(a, 1) == bed(b, 1)), 2.0).otherwise(-2.5)
     wards = F.when(bed(a, 2).isNull() | bed(b, 2).isNull(), 0.0).when(F.abs(bed(a, 2) - bed(b, 2)) <= F.greatest(F.lit(8), bed(a, 2) * 0.04), 1.0).otherwise(-2.0)
