@@ -15,12 +15,12 @@ def best_edges(routes: DataFrame, source: str, target: str, minutes: str) -> Dat
     return routes.where(ok).groupBy(F.col(source).alias("src"), F.col(target).alias("dst")).agg(F.min(t).alias("minutes"))
 
 
-def reach(edges: DataFrame, sources: DataFrame, legs: int | None = None, rounds: int = 50) -> DataFrame:
+def reach(edges: DataFrame, sources: DataFrame, legs: int | None = None, rounds: int = 10_000) -> DataFrame:
     """``node, minutes``: least time from any source (column ``node``) over at most ``legs`` edges.
 
     Min-plus relaxation: only nodes that got better in a round send along their edges in
-    the next. Without ``legs`` it goes on until nothing gets better (at most ``rounds``).
-    Unreachable nodes are absent. One row per node, whatever the number of sources.
+    the next. Without ``legs`` it goes on until nothing gets better; that more than
+    ``rounds`` would be needed is an error. Unreachable nodes are absent. One row per node, whatever the number of sources.
     """
     edges = cut(edges)
     known = cut(sources.where(F.col("node").isNotNull()).select("node").distinct().withColumn("minutes", F.lit(0.0)))
@@ -31,4 +31,7 @@ def reach(edges: DataFrame, sources: DataFrame, legs: int | None = None, rounds:
         known, better = both.select("node", "minutes"), both.where("moved").select("node", "minutes")
         if better.isEmpty():
             break
+    else:
+        if legs is None:
+            raise RuntimeError(f"travel times still get better after {rounds} rounds")
     return known

@@ -64,6 +64,12 @@ def base_reach(spark: SparkSession, d: str) -> DataFrame:
     return reach(known_edges(spark, d), bases, legs=3).select("node", rounded(F.col("minutes"), 4).alias("minutes"))
 
 
+def base_times(spark: SparkSession, d: str) -> DataFrame:
+    """Least minutes from the nearest base to every node that can be reached, over any number of measured legs."""
+    bases = table(spark, d, "ambulance_bases").select(F.col("node_id").alias("node"))
+    return reach(known_edges(spark, d), bases).select("node", rounded(F.col("minutes"), 4).alias("minutes"))
+
+
 def coverage_score(spark: SparkSession, d: str) -> DataFrame:
     """Sum of people / (1 + minutes) over the demand points with a way from a base."""
     people = demand_points(spark, d).select(F.concat_ws("::", "municipality_code", F.lit("demand"), "administrative_code").alias("dst"), "people")
@@ -160,7 +166,7 @@ def evolving_schema_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        known_edges, latest_measurement, matrix_coverage, missing_pairs, base_reach, coverage_score, hourly_travel, twin_route_reuse, tiered_assignment,
+        known_edges, latest_measurement, matrix_coverage, missing_pairs, base_reach, base_times, coverage_score, hourly_travel, twin_route_reuse, tiered_assignment,
         mandatory_optional_join, semi_filtered_capacity, registry_mismatch, violations_report, evolving_schema_scan,
     )
 }
