@@ -168,3 +168,13 @@ def test_match(spark):
     assert got["s1"][0] == "R1" and got["s1"][1] > 0.9 and got["s2"][0] == "R2" and got["s2"][1] > 0.5
     assert "s3" not in got and "s4" not in got and got["s5"][1] < got["s1"][1]
     assert matching.match(source.where("false"), register).count() == 0 and matching.match(source, register.where("false")).count() == 0
+
+
+def test_a_common_name_is_singled_out_by_beds(spark):
+    house = lambda i, **more: dict(name="나다라종합병원", phone=f"555-{1000 + i}", addresses=[f"가람시 꽃길 {i}"], size=100 if i < 24 else 900) | more
+    register = rows(spark, [(f"R{i:02d}", house(i)) for i in range(25)])
+    taken = [(f"s{i:02d}", house(i)) for i in range(24)]
+    lost = ("t", house(24, phone="999-9999", addresses=None))
+    got = {r.key: (r.record, r.confidence) for r in matching.match(rows(spark, [*taken, lost]), register).collect()}
+    assert got["t"][0] == "R24" and 0.0 < got["t"][1] < got["s00"][1]
+    assert all(got[f"s{i:02d}"][0] == f"R{i:02d}" for i in range(24))

@@ -1,7 +1,7 @@
 """Matching entities across sources without keys, by loopy belief propagation.
 
 Rows of a source that mean one institution form a class. A class and a register record
-of near names and with some common trace are a candidate with log odds from what they
+of near names and compatible kinds are a candidate with log odds from what they
 agree and disagree on. Two kinds of factors tie the candidates together: a class has at
 most one record, and a record hardly more than one class of the source. Messages pass
 between them until they settle; the marginals are the confidences.
@@ -16,14 +16,12 @@ from wardline.llm.places import evidence, folded
 from wardline.llm.variants import candidate_links, linked_classes
 from wardline.session import cut
 
-#: Log odds of a candidate pair of which nothing but near names and a common trace is known.
+#: Log odds of a candidate pair of which nothing but near names is known.
 PRIOR = -2.5
 #: Odds by which two classes sharing a record are less likely than one.
 SHARED = 0.3
 #: Confidence from which a pair counts as a match.
 FOUND_CONFIDENCE = 0.5
-#: A name that this many records of a town bear cannot single one out; it alone makes no candidate.
-COMMON_NAME = 20
 ROUNDS = 12
 SETTLED = 1e-3
 
@@ -78,7 +76,7 @@ def match(rows: DataFrame, register: DataFrame) -> DataFrame:
     left, right = cut(sized(folded(rows), rows)), cut(sized(folded(register), register))
     classes = linked_classes(left.drop("size"))
     of_class = cut(left.select("key").join(classes, "key", "left").select("key", F.coalesce("class_id", "key").alias("class_id")))
-    links = candidate_links(left, right, by_name=COMMON_NAME).withColumn("log_odds", log_odds()).select("key_a", "key_b", "log_odds", ((F.col("edits") == 0) & (F.col("kind_a") == F.col("kind_b"))).alias("alike"))
+    links = candidate_links(left, right).withColumn("log_odds", log_odds()).select("key_a", "key_b", "log_odds", ((F.col("edits") == 0) & (F.col("kind_a") == F.col("kind_b"))).alias("alike"))
     pooled = links.join(of_class, links.key_a == of_class.key).groupBy(F.col("class_id").alias("left"), F.col("key_b").alias("right")).agg(F.max("log_odds").alias("log_odds"), F.max_by("alike", F.struct("log_odds", "alike")).alias("alike"))
     best = beliefs(pooled).groupBy("left").agg(F.min(F.struct((-F.col("confidence")).alias("unlikely"), "right")).alias("best"))
     return of_class.join(best, of_class.class_id == best.left).select("key", F.col("best.right").alias("record"), (-F.col("best.unlikely")).alias("confidence"))

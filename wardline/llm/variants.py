@@ -57,41 +57,38 @@ def _met(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     return asked.join(dealt, [*on, "part"])
 
 
-def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: int = 0) -> DataFrame:
-    """``a, b`` (folded rows), ``edits, kind_a, kind_b``: rows of near names and compatible kinds that share a place token.
-
-    Of the rows equal in all but their key one stands for all; it is linked to each of
-    the others, so that a crowd of equal rows gives as many links as rows. Rows that
-    differ in any evidence are all compared. With
-    ``right`` the links go from rows of ``left`` to all rows of ``right``; ``by_name``
-    then also takes rows that share no token but whose names differ by one letter at
-    most, if fewer than ``by_name`` rows of ``right`` in the block bear that name.
+def candidate_links(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """``a, b`` (folded rows), ``edits, kind_a, kind_b``: rows of near names and compatible kinds, within ``left`` those that share a place token.
+
+    Within ``left`` one stands for all rows equal in all but their key; it is linked to
+    each of the others, so that a crowd of equal rows gives as many links as rows. Rows
+    that differ in any evidence are all compared. With ``right`` the links go from rows
+    of ``left`` to all rows of ``right`` whose names are near, however many bear them.
     """
-    def opened(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("reading", F.explode("readings")).select("key", "block", F.col("reading.core").alias("core"), F.col("reading.kind").alias("kind"), F.explode(place_tokens()).alias("token"))
+    def named(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.withColumn("reading", F.explode("readings")).select("key", "block", F.col("reading.core").alias("core"), F.col("reading.kind").alias("kind"), *more).distinct()
 
     own = right is None
     if own:
         alike_rows = Window.partitionBy(*(c for c in left.columns if c != "key"))
         headed = cut(left.where(F.size("readings") > 0).withColumn("head", F.min("key").over(alike_rows)))
         heads = headed.where(F.col("key") == F.col("head")).drop("head")
-    spread = cut(opened(heads if own else left))
-    other = spread if own else cut(opened(right))
-    words = spread.select("block", F.col("core").alias("word")).distinct()
+        asked = found = cut(named(heads, F.explode(place_tokens()).alias("token")))
+    else:
+        asked, found = cut(named(left)), cut(named(right))
+    words = asked.select("block", F.col("core").alias("word")).distinct()
     near = neighbours(words, words, spellings)
     if not own:
-        known = other.select("block", F.col("core").alias("word")).distinct()
+        known = found.select("block", F.col("core").alias("word")).distinct()
         near = neighbours(words, known, spellings)
         # transcriptions are asked for on one side only: the register's in the other direction
         latin = known.where(~F.col("word").rlike("[가-힣]"))
         back = neighbours(latin, words, spellings).select("block", F.col("word").alias("query"), F.col("query").alias("word"), "edits")
         near = near.unionByName(back).groupBy("block", "query", "word").agg(F.min("edits").alias("edits"))
     near = cut(near)
-    groups = spread.distinct() if own else spread.groupBy("block", "token", "core", "kind").agg(F.min("key").alias("key"))
-    targets = groups if own else other.select("block", "token", "core", "kind", "key").distinct()
-    targets = targets.select("block", "token", F.col("core").alias("word"), F.col("kind").alias("kind_b"), F.col("key").alias("key_b"))
+    targets = found.withColumnsRenamed({"core": "word", "kind": "kind_b", "key": "key_b"})
     met = (
-        _met(groups.join(near.withColumnRenamed("query", "core"), ["block", "core"]), targets, ["block", "token", "word"])
+        _met(asked.join(near.withColumnRenamed("query", "core"), ["block", "core"]), targets, ["block", "token", "word"] if own else ["block", "word"])
         .where(same_kind(F.col("kind"), F.col("kind_b")))
         .select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits")
     )
@@ -102,19 +99,6 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, by_name: in
         kind = F.array_max(F.col("readings.kind"))
         stars = headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), kind.alias("kind_a"), kind.alias("kind_b"), F.lit(0).alias("edits"))
         met = met.unionByName(stars)
-    else:
-        met = cut(met)
-        stars = spread.join(groups.withColumnRenamed("key", "head"), ["block", "token", "core", "kind"]).where(F.col("key") != F.col("head"))
-        met = met.unionByName(
-            stars.join(met.withColumnRenamed("key_a", "head").withColumnRenamed("kind_a", "kind"), ["head", "kind"]).select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits")
-        )
-    if by_name and not own:
-        named = lambda rows: rows.select("key", "block", F.explode("readings").alias("reading")).select("key", "block", F.col("reading.core").alias("core"), F.col("reading.kind").alias("kind")).distinct()
-        of_right = named(right)
-        rare = of_right.groupBy("block", "core", "kind").count().where(F.col("count") < by_name).drop("count")
-        bearers = of_right.join(rare, ["block", "core", "kind"]).select("block", F.col("core").alias("word"), F.col("kind").alias("kind_b"), F.col("key").alias("key_b"))
-        alike = named(left).join(near.where(F.col("edits") <= 1).withColumnRenamed("query", "core"), ["block", "core"]).join(bearers, ["block", "word"])
-        met = met.unionByName(alike.where(same_kind(F.col("kind"), F.col("kind_b"))).select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits"))
     met = cut(met).groupBy("key_a", "key_b").agg(F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b")).alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
     keyed = lambda rows, side: rows.select(F.col("key").alias(f"key_{side}"), F.struct(*rows.columns).alias(side))
     return met.join(keyed(left, "a"), "key_a").join(keyed(left if own else right, "b"), "key_b")
