@@ -7,15 +7,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wardline.operators.rejects import DEMAND_FIELDS, Field, _parse, _typed, _value, parse_records, split_record
+from wardline.operators.rejects import DEMAND_FIELDS, Field, _parse, _strict, _typed, _value, parse_records, split_record
 
 GOOD = '6102000073,"한울도 ""솔뫼시"", 동",61020,"9,460",3349,33.06,130.35,x,y,,ok,ok'
 
 
 def run(records, fields=DEMAND_FIELDS):
-    out = []
-    _parse(pa.array(records, pa.string()), fields, out)
-    return [r for _, reasons in out for r in reasons.to_pylist()]
+    return _parse(pa.array(records, pa.string()), fields)[1].to_pylist()
 
 
 def test_reasons():
@@ -23,7 +21,15 @@ def test_reasons():
     cases = {
         GOOD: None,
         swap("33.06", ""): None,
-        swap("33.06", "33."): None,
+        swap("33.06", "33."): "invalid_value",
+        swap("33.06", ".5"): "invalid_value",
+        swap("33.06", "-.5"): "invalid_value",
+        swap("33.06", "+33.5"): "invalid_value",
+        swap("33.06", "\u00a033.06"): "invalid_value",
+        swap("33.06", " 33.06\t"): None,
+        swap('"9,460"', '"1,2345"'): "invalid_value",
+        swap('"9,460"', '"1,234,567"'): None,
+        swap('"9,460"', '""'): "invalid_value",
         swap("33.06", "-33.06"): "invalid_value",
         swap("33.06", "43.0001"): "invalid_value",
         swap("33.06", "3.3e1"): "invalid_value",
@@ -75,8 +81,16 @@ def test_blocks_equal_single_records(records):
 @settings(max_examples=300, deadline=None)
 @given(st.text('0129 \t,.-+e３', max_size=12), st.sampled_from([DEMAND_FIELDS[0], DEMAND_FIELDS[3], DEMAND_FIELDS[5], Field("x")]))
 def test_strict_and_columnar_rules_agree(text, field):
-    column = _typed(pa.array([text], pa.string()), field)
-    assert _value(text, field) == (column[0].as_py(), True) if column is not None else not _value(text, field)[1]
+    column, good = _typed(pa.array([text], pa.string()), field)
+    assert _value(text, field)[1] == good[0] and (not good[0] or _value(text, field)[0] == column[0].as_py())
+
+
+def test_only_bad_records_are_read_strictly():
+    records, calls = [GOOD] * 3000, []
+    for i in range(0, 3000, 13):
+        records[i] = (GOOD.replace("33.06", "37."), GOOD + ",", GOOD.replace("x", 'x"'), None)[i % 4]
+    _, reasons = _parse(pa.array(records, pa.string()), DEMAND_FIELDS, lambda r, f: calls.append(r) or _strict(r, f))
+    assert len(calls) == sum(r is not None for r in reasons.to_pylist()) == len(range(0, 3000, 13))
 
 
 def test_table_is_kept_whole(spark):

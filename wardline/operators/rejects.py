@@ -1,16 +1,19 @@
 """Rows that fail to parse: valid records loaded, the others set apart with a reason.
 
 Blocks of records take a columnar path: one vectorized shape test, one bulk CSV parse
-and one vectorized test per typed field. A block that fails is halved until its bad
-records stand alone; only these go through the strict reader that names the reason.
+and one vectorized test per typed field. A block that fails a test is halved until its
+failing records stand alone, the running count of failures telling which halves are
+clean; only the isolated records go through the strict reader that names the reason,
+the rest of the block stays on the columnar path.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
@@ -18,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Records of the first, largest block.
-BLOCK = 256
-#: Blocks this small are diagnosed record by record.
-LEAF = 16
+BLOCK = 4096
 
 COUNT = r"(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})*)"
-DECIMAL = r"-?[0-9]+(?:\.[0-9]*)?|-?\.[0-9]+"
+DECIMAL = r"-?[0-9]+(?:\.[0-9]+)?"
 _COUNT, _DECIMAL = re.compile(COUNT), re.compile(DECIMAL)
 
 
@@ -68,8 +69,12 @@ DEMAND_FIELDS = (
 
 
 def _shape(fields: int) -> str:
-    """A record of so many well-quoted fields, as one linear-time pattern."""
-    field = r'(?:[^",]*|"(?:[^"]|"")*")'
+    """A record of so many well-quoted fields, as one linear-time pattern.
+
+    Line ends in unquoted fields are left to the strict reader: the bulk parser would
+    take them for the end of a record.
+    """
+    field = r'(?:[^",\r\n]*|"(?:[^"]|"")*")'
     return rf"(?s)\A{field}(?:,{field}){{{fields - 1}}}\z"
 
 
@@ -105,60 +110,45 @@ def split_record(record: str) -> list[str] | None:
         at += 1
 
 
-def _typed(values: pa.Array, field: Field) -> pa.Array | None:
-    """The values in the field's type, or None if any of them is invalid."""
+def _mask(good: pa.Array) -> np.ndarray:
+    return pc.fill_null(good, False).to_numpy(zero_copy_only=False)
+
+
+def _typed(values: pa.Array, field: Field) -> tuple[pa.Array, np.ndarray]:
+    """The values in the field's type (null where invalid), and which of them are valid."""
     if field.kind == "text":
-        return values
+        return values, np.ones(len(values), bool)
     trimmed = pc.utf8_trim(values, " \t")
     if field.kind == "digits":
         good = pc.match_substring_regex(trimmed, rf"\A[0-9]{{{field.width}}}\z")
-        return trimmed if pc.all(good, min_count=0).as_py() else None
+        return trimmed, _mask(good)
     if field.kind == "count":
-        if not pc.all(pc.match_substring_regex(trimmed, rf"\A{COUNT}\z"), min_count=0).as_py():
-            return None
-        plain = pc.replace_substring(trimmed, ",", "")
-        plain = pc.utf8_ltrim(plain, "0")
-        if pc.any(pc.greater(pc.utf8_length(plain), 9), min_count=0).as_py():
-            return None
-        number = pc.if_else(pc.equal(plain, ""), "0", plain).cast(pa.int32())
-        return number if pc.all(pc.less_equal(number, int(field.high)), min_count=0).as_py() else None
+        counts = pc.match_substring_regex(trimmed, rf"\A{COUNT}\z")
+        plain = pc.utf8_ltrim(pc.replace_substring(trimmed, ",", ""), "0")
+        counts = pc.and_(counts, pc.less_equal(pc.utf8_length(plain), 9))
+        number = pc.if_else(counts, pc.if_else(pc.equal(plain, ""), "0", plain), None).cast(pa.int32())
+        return number, _mask(pc.less_equal(number, int(field.high)))
     empty = pc.equal(trimmed, "")
-    if not pc.all(pc.or_(empty, pc.match_substring_regex(trimmed, rf"\A(?:{DECIMAL})\z")), min_count=0).as_py():
-        return None
-    number = pc.if_else(empty, None, trimmed).cast(pa.float64())
+    number = pc.if_else(pc.match_substring_regex(trimmed, rf"\A(?:{DECIMAL})\z"), trimmed, None).cast(pa.float64())
     within = pc.and_(pc.greater_equal(number, field.low), pc.less_equal(number, field.high))
-    return number if pc.all(pc.fill_null(within, True), min_count=0).as_py() else None
+    return number, _mask(empty) | _mask(within)
 
 
-def _bulk(records: pa.Array, fields: tuple[Field, ...]) -> list[pa.Array] | None:
-    """All records of the block as typed columns, or None if any of them is bad."""
-    if records.null_count:
-        return None
+def _columns(records: pa.Array, fields: tuple[Field, ...]) -> list[pa.Array] | None:
+    """The text columns of well-shaped records by one bulk parse, or None if it doesn't give one row for each."""
     if len(fields) == 1:
-        columns = [records]  # a single value, not a record: nothing to split
-    else:
-        if not pc.all(pc.match_substring_regex(records, _shape(len(fields)))).as_py():
-            return None
-        data = ("\n".join(records.to_pylist()) + "\n").encode()
-        try:
-            parsed = pyarrow.csv.read_csv(
-                pa.BufferReader(data),
-                read_options=pyarrow.csv.ReadOptions(column_names=[f.name for f in fields], use_threads=False, block_size=len(data) + 1),
-                parse_options=pyarrow.csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-                convert_options=pyarrow.csv.ConvertOptions(column_types={f.name: pa.string() for f in fields}, strings_can_be_null=False),
-            )
-        except pa.ArrowInvalid:
-            return None
-        if parsed.num_rows != len(records):  # a bare line feed inside a field
-            return None
-        columns = [c.combine_chunks() for c in parsed.columns]
-    typed = []
-    for values, field in zip(columns, fields):
-        done = _typed(values, field)
-        if done is None:
-            return None
-        typed.append(done)
-    return typed
+        return [records]  # a single value, not a record: nothing to split
+    data = ("\n".join(records.to_pylist()) + "\n").encode()
+    try:
+        parsed = pyarrow.csv.read_csv(
+            pa.BufferReader(data),
+            read_options=pyarrow.csv.ReadOptions(column_names=[f.name for f in fields], use_threads=False, block_size=len(data) + 1),
+            parse_options=pyarrow.csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
+            convert_options=pyarrow.csv.ConvertOptions(column_types={f.name: pa.string() for f in fields}, strings_can_be_null=False),
+        )
+    except pa.ArrowInvalid:
+        return None
+    return [c.combine_chunks() for c in parsed.columns] if parsed.num_rows == len(records) else None
 
 
 def _value(text: str, field: Field) -> tuple[object, bool]:
@@ -197,19 +187,46 @@ def _strict(record: str | None, fields: tuple[Field, ...]) -> tuple[list, str |
     return ([v for v, _ in typed], None) if all(good for _, good in typed) else (nothing, "invalid_value")
 
 
-def _parse(records: pa.Array, fields: tuple[Field, ...], out: list[tuple[list[pa.Array], pa.Array]]) -> None:
-    """Bisects: appends columns and reasons in the records' order."""
-    done = _bulk(records, fields)
-    if done is not None:
-        out.append((done, pa.nulls(len(records), pa.string())))
-    elif len(records) <= LEAF:
-        rows = [_strict(r.as_py(), fields) for r in records]
-        columns = [pa.array([v[i] for v, _ in rows], f.arrow_type) for i, f in enumerate(fields)]
-        out.append((columns, pa.array([reason for _, reason in rows], pa.string())))
-    else:
+def _isolated(good: np.ndarray) -> list[int]:
+    """Positions that fail a test, found by halving: a part without failures is left at once."""
+    failures = np.r_[0, np.cumsum(~good)]
+    alone, parts = [], [(0, len(good))]
+    while parts:
+        start, stop = parts.pop()
+        if failures[start] == failures[stop]:
+            continue
+        if stop - start == 1:
+            alone.append(start)
+            continue
+        middle = (start + stop) // 2
+        parts += [(middle, stop), (start, middle)]
+    return alone
+
+
+def _parse(records: pa.Array, fields: tuple[Field, ...], strict: Callable = _strict) -> tuple[list[pa.Array], pa.Array]:
+    """Typed columns and reasons of a block, in the records' order."""
+    shaped = _mask(pc.match_substring_regex(records, _shape(len(fields)))) if len(fields) > 1 else _mask(pc.is_valid(records))
+    bad = _isolated(shaped)
+    rest = np.delete(np.arange(len(records)), bad)
+    texts = _columns(records.take(pa.array(rest)) if bad else records, fields)
+    if texts is None and len(rest) > 1:  # the parser takes the block otherwise than the shape does
         half = len(records) // 2
-        _parse(records.slice(0, half), fields, out)
-        _parse(records.slice(half), fields, out)
+        (a, x), (b, y) = _parse(records.slice(0, half), fields, strict), _parse(records.slice(half), fields, strict)
+        return [pa.concat_arrays(c) for c in zip(a, b)], pa.concat_arrays([x, y])
+    if texts is None:
+        bad, rest, texts = list(range(len(records))), rest[:0], [pa.array([], pa.string())] * len(fields)
+    typed = [_typed(values, field) for values, field in zip(texts, fields)]
+    invalid = _isolated(np.logical_and.reduce([good for _, good in typed])) if len(rest) else []
+    clean = np.delete(np.arange(len(rest)), invalid)
+    bad = [*bad, *rest[invalid].tolist()]
+    judged = [strict(records[i].as_py(), fields) for i in bad]
+    order = pa.array(np.argsort(np.r_[rest[clean], np.array(bad, np.int64)]))
+    columns = []
+    for i, (field, (values, _)) in enumerate(zip(fields, typed)):
+        good = values.take(pa.array(clean)) if invalid else values
+        columns.append(pa.concat_arrays([good, pa.array([v[i] for v, _ in judged], field.arrow_type)]).take(order) if bad else good)
+    reasons = pa.concat_arrays([pa.nulls(len(clean), pa.string()), pa.array([reason for _, reason in judged], pa.string())]).take(order)
+    return columns, reasons
 
 
 def parse_records(df: DataFrame, text: str, fields: tuple[Field, ...], prefix: str = "p_") -> DataFrame:
@@ -234,13 +251,8 @@ def parse_records(df: DataFrame, text: str, fields: tuple[Field, ...], prefix: s
             records = batch.column(at).cast(pa.string())
             if len(fields) > 1:
                 records = pc.replace_substring_regex(pc.replace_substring_regex(records, "\\A\ufeff", ""), "\r\\z", "")
-            out: list[tuple[list[pa.Array], pa.Array]] = []
             for start in range(0, len(records), BLOCK):
-                _parse(records.slice(start, BLOCK), fields, out)
-            if not out:
-                continue
-            columns = [pa.concat_arrays([c[0][i] for c in out]) for i in range(len(fields))]
-            reasons = pa.concat_arrays([c[1] for c in out])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *columns, reasons], names=schema.names)
+                columns, reasons = _parse(records.slice(start, BLOCK), fields)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, BLOCK) for i in kept], *columns, reasons], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -85,7 +85,13 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return raw.where(F.col("reject_reason").isNull()).select("line_id", *[F.col("p_" + f.name).alias(f.name) for f in DEMAND_FIELDS])
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_loaded": p4_loaded}
+def p4_population(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of demand_population whose population is a count, with it as a number; repeats count once."""
+    _, staged = _rejects(spark, d)
+    return staged.where(F.col("reject_reason").isNull()).select("administrative_code", "municipality_code", F.col("p_population").alias("population"), "households").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_population": p4_population}
 
 _OK = "latitude between 33 and 43 and longitude between 124 and 132"
 _KM = f"{2 * EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
@@ -120,8 +126,8 @@ _PARSED = rf"""
     when not (regexp_full_match(t[1], '[0-9]{{10}}') and regexp_full_match(t[3], '[0-9]{{5}}')
       and regexp_full_match(t[4], '{_COUNT}') and coalesce(try_cast(replace(t[4], ',', '') as hugeint) <= 9999999, false)
       and regexp_full_match(t[5], '{_COUNT}') and coalesce(try_cast(replace(t[5], ',', '') as hugeint) <= 9999999, false)
-      and (t[6] = '' or (regexp_full_match(t[6], '-?([0-9]+([.][0-9]*)?|[.][0-9]+)') and try_cast(t[6] as double) between 33 and 43))
-      and (t[7] = '' or (regexp_full_match(t[7], '-?([0-9]+([.][0-9]*)?|[.][0-9]+)') and try_cast(t[7] as double) between 124 and 132)))
+      and (t[6] = '' or (regexp_full_match(t[6], '-?[0-9]+([.][0-9]+)?') and try_cast(t[6] as double) between 33 and 43))
+      and (t[7] = '' or (regexp_full_match(t[7], '-?[0-9]+([.][0-9]+)?') and try_cast(t[7] as double) between 124 and 132)))
       then 'invalid_value' end reason from trimmed)
 """
 ORACLES = {
@@ -144,4 +150,6 @@ union select 'demand_population', administrative_code, 'invalid_value' from dema
     "p4_loaded": f"""with {_PARSED} select line_id, t[1] administrative_code, v[2] administrative_name, t[3] municipality_code, cast(replace(t[4], ',', '') as integer) population,
   cast(replace(t[5], ',', '') as integer) households, try_cast(nullif(t[6], '') as double) latitude, try_cast(nullif(t[7], '') as double) longitude, v[8] coordinate_source,
   v[9] matched_address, v[10] kakao_place_id, v[11] geocoding_status, v[12] demand_rate_status from judged where reason is null""",
+    "p4_population": f"""select distinct administrative_code, municipality_code, cast(replace(trim(population, ' ' || chr(9)), ',', '') as integer) population, households from demand_population
+  where coalesce(regexp_full_match(trim(population, ' ' || chr(9)), '{_COUNT}') and coalesce(try_cast(replace(trim(population, ' ' || chr(9)), ',', '') as hugeint) <= 9999999, false), false)""",
 }
