@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import cut
+from wardline.session import cut, release
 
 
 def best_edges(routes: DataFrame, source: str, target: str, minutes: str) -> DataFrame:
@@ -24,11 +24,13 @@ def reach(edges: DataFrame, sources: DataFrame, legs: int | None = None, rounds:
     """
     edges = cut(edges)
     known = cut(sources.where(F.col("node").isNotNull()).select("node").distinct().withColumn("minutes", F.lit(0.0)))
-    better = known
+    better, before = known, known
     for _ in range(legs if legs is not None else rounds):
         sent = better.join(edges.withColumnRenamed("minutes", "leg"), better.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("minutes") + F.col("leg")).alias("offer"))
         both = cut(known.join(sent, "node", "full").select("node", F.least("minutes", "offer").alias("minutes"), (F.col("minutes").isNull() | (F.col("offer") < F.col("minutes"))).alias("moved")))
         known, better = both.select("node", "minutes"), both.where("moved").select("node", "minutes")
+        release(before)
+        before = both
         if better.isEmpty():
             break
     else:

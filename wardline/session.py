@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,13 +15,16 @@ from pyspark.sql import types as T
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there. Only where nothing is set, as in
-    tests on one machine, is a folder of our own made.
+    The cluster names a shared folder there; that it doesn't is an error, since a
+    folder of one machine would be lost with it. Only on a local master, as in tests,
+    is a folder of our own made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-wardline-"))
 
 
@@ -30,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for ``df``, once a later round has replaced it and nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    plan = df._jdf.queryExecution().analyzed()
+    written = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+    if written is not None and written.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(written.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utc_micros(df: DataFrame, name: str) -> Column:
     """Microseconds since the epoch of a timestamp column.
 
