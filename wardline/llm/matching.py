@@ -1,10 +1,11 @@
 """Matching entities across sources without keys, by loopy belief propagation.
 
 Rows of a source that mean one institution form a class. A class and a register record
-of near names and compatible kinds are a candidate with log odds from what they
-agree and disagree on. Two kinds of factors tie the candidates together: a class has at
-most one record, and a record hardly more than one class of the source. Messages pass
-between them until they settle; the marginals are the confidences.
+of the same town with near names and compatible kinds are a candidate, with log odds
+from what they agree and disagree on; the weights are fitted to the candidates
+themselves. Two kinds of hard one-to-one factors tie the candidates together: a class
+has at most one record, and a record belongs to one institution. Messages pass between
+them until they settle; the marginals are the confidences.
 """
 
 from __future__ import annotations
@@ -12,56 +13,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.places import evidence, folded
-from wardline.llm.variants import candidate_links, linked_classes
-from wardline.session import cut
+from wardline.llm.linkage import Field, fit
+from wardline.llm.places import agreements, folded
+from wardline.llm.variants import candidate_links, compared, linked_classes
+from wardline.session import cut, release
 
-#: Log odds of a candidate pair of which nothing but near names is known.
-PRIOR = -2.5
-#: Odds by which two classes sharing a record are less likely than one.
-SHARED = 0.3
 #: Confidence from which a pair counts as a match.
 FOUND_CONFIDENCE = 0.5
-ROUNDS = 12
-SETTLED = 1e-3
+#: Rounds by which messages must have settled; it takes about as many as the longest chain of competing candidates.
+ROUNDS = 300
+SETTLED = 1e-4
+#: Rounds after which half of the old message is kept, against oscillation.
+DAMPED_AFTER = 8
 
+#: Fields of a candidate, and how often their levels occur among matches and others before anything is fitted.
+FIELDS = (
+    Field("name", (0.75, 0.1, 0.08, 0.07), (0.02, 0.05, 0.2, 0.73)),
+    Field("kind_level", (0.8, 0.15, 0.05), (0.6, 0.25, 0.15)),
+    Field("phone", (0.1, 0.9), (0.995, 0.005)),
+    Field("road", (0.1, 0.9), (0.995, 0.005)),
+    Field("lot", (0.1, 0.9), (0.995, 0.005)),
+    Field("postal", (0.2, 0.8), (0.98, 0.02)),
+    Field("near", (0.9, 0.05, 0.03, 0.02), (0.01, 0.01, 0.08, 0.9)),
+    Field("beds", (0.1, 0.1, 0.8), (0.9, 0.05, 0.05)),
+)
+#: Fields that tell of the place and size; on balance against a record, they make a class its rival.
+PLACE = ("phone", "road", "lot", "postal", "near", "beds")
 
-def _beds() -> Column:
+
+def levels() -> dict[str, Column]:
+    """Levels of the fields of a candidate ``a, b, edits, kind_a, kind_b``."""
     x, y = F.col("a.size"), F.col("b.size")
-    return F.when(x.isNull() | y.isNull() | (x <= 0) | (y <= 0), 0.0).when(F.abs(x - y) <= F.greatest(F.lit(4.0), x * 0.04), 1.5).when(F.abs(x - y) <= x * 0.12, 0.3).otherwise(-1.5)
+    off = F.abs(x - y)
+    beds = F.when((x > 0) & (y > 0), F.when(off <= F.greatest(F.lit(4.0), y * 0.04), 2).when(off <= y * 0.12, 1).otherwise(0))
+    known = (F.col("kind_a") != "") & (F.col("kind_b") != "")
+    kind = F.when(~known, 1).when(F.col("kind_a") == F.col("kind_b"), 0).otherwise(2)
+    return {"name": F.least(F.col("edits"), F.lit(3)), "kind_level": kind, "beds": beds} | {k: v for k, v in agreements("a", "b").items() if k in PLACE}
 
 
-def log_odds() -> Column:
-    """Of a candidate: the evidence of place, size, name and kind over the prior."""
-    name = F.when(F.col("edits") == 0, 2.5).when(F.col("edits") == 1, 1.5).when(F.col("edits") == 2, 0.5).otherwise(-0.5)
-    kind = F.when((F.col("kind_a") == F.col("kind_b")) & (F.col("kind_a") != ""), 0.5).when((F.col("kind_a") == "") | (F.col("kind_b") == ""), -0.5).otherwise(0.0)
-    return PRIOR + name + kind + evidence("a", "b") + _beds()
+def _lone(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges that share no end with another, the others)."""
+    ends = lambda side: edges.groupBy(side).agg(F.count("*").alias(f"{side}_n"))
+    counted = cut(edges.join(ends("left"), "left").join(ends("right"), "right").withColumn("lone", (F.col("left_n") == 1) & (F.col("right_n") == 1)).drop("left_n", "right_n"))
+    return counted.where("lone").drop("lone"), counted.where("not lone").drop("lone")
 
 
-def beliefs(candidates: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED, shared: float = SHARED) -> DataFrame:
-    """``left, right, confidence`` of the candidates ``left, right, log_odds, alike`` (distinct pairs).
+def beliefs(candidates: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+    """``left, right, confidence`` of the candidates ``left, right, log_odds, rival`` (distinct pairs).
 
     Sum-product messages in odds. The factor of a left node lets at most one of its
-    candidates be true; that of a right node lets one be, and further ones by ``shared``
-    less likely, but candidates that are ``alike`` (name and kind are just the record's)
-    do not exclude each other. Both need only sums of the other candidates' odds, so
-    that a round is two grouped sums joined back. A lone candidate keeps its own odds.
+    candidates be true. That of a right node lets it belong to one institution: either
+    to any of the candidates that nothing speaks against (rows of one institution that
+    were not joined beforehand), or to a single ``rival``. Both factors need only sums
+    over the other candidates, so that a round is two grouped sums joined back. Lone
+    candidates keep their own odds; rounds go over the competing ones until no marginal
+    moves by ``settled`` or more, and that more than ``rounds`` would be needed is an error.
     """
     odds = F.exp(F.least(F.greatest("log_odds", F.lit(-30.0)), F.lit(30.0)))
-    edges = cut(candidates.select("left", "right", "alike", odds.alias("odds"), F.lit(1.0).alias("from_left"), F.lit(1.0).alias("from_right")))
-    for _ in range(rounds):
+    lone, edges = _lone(candidates.select("left", "right", "rival", odds.alias("odds"), F.lit(1.0).alias("from_left"), F.lit(1.0).alias("from_right"), F.lit(-1.0).alias("marginal")))
+    for n in range(rounds):
         out = edges.withColumn("arriving", F.col("odds") * F.col("from_right"))
         sums = out.groupBy("left").agg(F.sum("arriving").alias("left_sum"))
         out = out.join(sums, "left").withColumn("from_left", 1 / (1 + F.greatest(F.col("left_sum") - F.col("arriving"), F.lit(0.0)))).withColumn("leaving", F.col("odds") * F.col("from_left"))
-        others = out.groupBy("right").agg(F.sum("leaving").alias("right_sum"), F.sum(F.when(F.col("alike"), F.col("leaving")).otherwise(0.0)).alias("alike_sum"))
-        rest = F.greatest(F.col("right_sum") - F.when(F.col("alike"), F.col("alike_sum")).otherwise(F.col("leaving")), F.lit(0.0))
-        fresh = out.join(others, "right").withColumn("fresh", (1 + shared * rest) / (1 + rest))
-        # half of the old message damps oscillation
-        edges = cut(fresh.select("left", "right", "alike", "odds", "from_left", ((F.col("fresh") + F.col("from_right")) / 2).alias("from_right"), F.abs(F.col("fresh") - F.col("from_right")).alias("change")))
-        if (edges.agg(F.max("change")).first()[0] or 0.0) < settled:
+        friend = F.when(F.col("rival"), 0.0).otherwise(F.log1p("leaving"))
+        foe = F.when(F.col("rival"), F.col("leaving")).otherwise(0.0)
+        ends = out.groupBy("right").agg(F.sum(friend).alias("friends"), F.sum(foe).alias("foes"))
+        others = F.exp(F.greatest(F.col("friends") - friend, F.lit(0.0)))  # all states of the other friends
+        rivals = F.greatest(F.col("foes") - foe, F.lit(0.0))
+        fresh = F.when(F.col("rival"), 1 / (others + rivals)).otherwise(1 / (1 + rivals / others))
+        kept = 0.5 if n >= DAMPED_AFTER else 0.0
+        told = out.join(ends, "right").withColumn("from_right", (1 - kept) * fresh + kept * F.col("from_right"))
+        belief = F.col("odds") * F.col("from_left") * F.col("from_right")
+        now = cut(told.withColumn("before", F.col("marginal")).withColumn("marginal", belief / (1 + belief)).select("left", "right", "rival", "odds", "from_left", "from_right", "marginal", F.abs(F.col("marginal") - F.col("before")).alias("change")))
+        if n:
+            release(edges)
+        edges = now
+        change = edges.agg(F.max("change")).first()[0]
+        if change is None or change < settled:
             break
-    marginal = F.col("odds") * F.col("from_left") * F.col("from_right")
-    return edges.select("left", "right", (marginal / (1 + marginal)).alias("confidence"))
+    else:
+        raise RuntimeError(f"beliefs still move by {change} after {rounds} rounds")
+    alone = lone.select("left", "right", (F.col("odds") / (1 + F.col("odds"))).alias("confidence"))
+    return alone.unionByName(edges.select("left", "right", F.col("marginal").alias("confidence")))
+
+
+def scored(rows: DataFrame, register: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``key, class_id`` of all rows, candidates ``left, right, log_odds, rival`` of the classes)."""
+    sized = lambda folded_rows, raw: folded_rows.join(raw.groupBy("key").agg(F.max("size").cast("double").alias("size")), "key")
+    left, right = cut(sized(folded(rows), rows)), cut(sized(folded(register), register))
+    classes = linked_classes(left.drop("size"))
+    of_class = cut(left.join(classes, "key", "left").withColumn("class_id", F.coalesce("class_id", "key")))
+    links = compared(candidate_links(left, right), of_class, right, levels())
+    names = [f.name for f in FIELDS]
+    pairs = cut(links.select(F.col("a.class_id").alias("left"), F.col("key_b").alias("right"), *names))
+    weights = fit(pairs, FIELDS)
+    pairs = pairs.withColumn("log_odds", F.lit(weights.prior) + weights.of(names)).withColumn("rival", weights.of(PLACE) < 0)
+    best = F.max(F.struct("log_odds", (~F.col("rival")).alias("friend")))
+    pooled = pairs.groupBy("left", "right").agg(best.alias("m")).select("left", "right", "m.log_odds", (~F.col("m.friend")).alias("rival"))
+    return of_class.select("key", "class_id"), pooled
 
 
 def match(rows: DataFrame, register: DataFrame) -> DataFrame:
@@ -72,11 +121,6 @@ def match(rows: DataFrame, register: DataFrame) -> DataFrame:
     own class; compare it with FOUND_CONFIDENCE. Rows without a readable name match
     nothing. Equal confidences prefer the smaller record.
     """
-    sized = lambda folded_rows, raw: folded_rows.join(raw.groupBy("key").agg(F.max("size").cast("double").alias("size")), "key")
-    left, right = cut(sized(folded(rows), rows)), cut(sized(folded(register), register))
-    classes = linked_classes(left.drop("size"))
-    of_class = cut(left.select("key").join(classes, "key", "left").select("key", F.coalesce("class_id", "key").alias("class_id")))
-    links = candidate_links(left, right).withColumn("log_odds", log_odds()).select("key_a", "key_b", "log_odds", ((F.col("edits") == 0) & (F.col("kind_a") == F.col("kind_b"))).alias("alike"))
-    pooled = links.join(of_class, links.key_a == of_class.key).groupBy(F.col("class_id").alias("left"), F.col("key_b").alias("right")).agg(F.max("log_odds").alias("log_odds"), F.max_by("alike", F.struct("log_odds", "alike")).alias("alike"))
-    best = beliefs(pooled).groupBy("left").agg(F.min(F.struct((-F.col("confidence")).alias("unlikely"), "right")).alias("best"))
+    of_class, candidates = scored(rows, register)
+    best = beliefs(candidates).groupBy("left").agg(F.min(F.struct((-F.col("confidence")).alias("unlikely"), "right")).alias("best"))
     return of_class.join(best, of_class.class_id == best.left).select("key", F.col("best.right").alias("record"), (-F.col("best.unlikely")).alias("confidence"))

@@ -122,7 +122,7 @@ _SPELLED_KINDS = {k: spelled(k) for k in KINDS if len(k) >= 2}
 
 @lru_cache(50_000)
 def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
-    """(rest, kind) of a Hangul name without spaces: its exact ending, and a longer or only misspelt one.
+    """(rest, kind) of a Hangul name without spaces: its exact ending, and all longer or only misspelt ones, the likeliest first.
 
     A misspelt ending has a letter or two wrong, its syllables in another order, or one
     of several syllables missing.
@@ -155,7 +155,7 @@ def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
     found.sort()
     out: list[tuple[str, str]] = []
     for _, rest, kind in found:
-        if all(kind != k for _, k in out) and len(out) < 2:
+        if all(kind != k for _, k in out):
             out.append((rest, kind))
     return tuple(out) or ((text, ""),)
 
@@ -193,7 +193,7 @@ def parse(name: str | None, town: str | None = None) -> list[tuple[str, str]]:
     if not kind and _HANGUL.search(core):
         readings = list(_kinds_at_end(core))
         if whole != core:
-            readings.append(_kinds_at_end(whole)[0])
+            readings += _kinds_at_end(whole)
     elif not kind and core.endswith("H") and len(core) > 1:
         readings = [(core[:-1], "hospital")]
     else:

@@ -84,8 +84,8 @@ def place_tokens(near_km: float = NEAR_KM) -> Column:
     """Tokens that rows of one place share: phone, road, lot, postal code, beds, and cells of the four
     grids shifted by half a cell, of which points within half a cell share one.
 
-    Rows without a common token have at most the points of their names, kinds and wards,
-    which do not link them.
+    Rows without a common token agree at most in their names, kinds and wards, which
+    does not link them.
     """
     step_lat = 2 * near_km / KM_PER_DEGREE
     step_lon = step_lat / LEAST_COSINE  # the exact distance is judged later
@@ -100,19 +100,24 @@ def place_tokens(near_km: float = NEAR_KM) -> Column:
     return F.array_compact(F.array(*named, *cells, beds))
 
 
-def evidence(a: str, b: str) -> Column:
-    """How far two folded rows (struct columns) agree on place and size, in points.
+#: Columns that comparisons of two rows read.
+COMPARED = ("phone", "road", "lot", "postal", "lat", "lon", "beds", "size", "class_id")
 
-    Equal keys speak for, unequal ones against; what either lacks is silent. Far apart
-    speaks strongly against.
+
+def agreements(a: str, b: str) -> dict[str, Column]:
+    """How far two folded rows (struct columns) agree on place and size, as levels; null where either is silent.
+
+    ``phone``, ``road``, ``lot``, ``postal``, ``emergency`` (both kinds of emergency beds)
+    and ``wards``: 1 equal, 0 not. ``near``: 0 within ``NEAR_KM``, 1 to 250 m, 2 to 1 km, 3 beyond.
     """
-    def both(field: str, equal: float, unequal: float) -> Column:
-        x, y = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
-        return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, equal).otherwise(unequal)
-
-    km = haversine_km(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
-    near = F.when(km.isNull(), 0.0).when(km <= NEAR_KM, 1.5).when(km <= 0.25, 0.0).when(km <= 1.0, -2.5).otherwise(-6.0)
-    bed = lambda s, i: F.get(F.col(f"{s}.beds"), F.lit(i))
-    emergency = F.when(bed(a, 0).isNull() | bed(b, 0).isNull() | bed(a, 1).isNull() | bed(b, 1).isNull(), 0.0).when((bed(a, 0) == bed(b, 0)) & (bed(a, 1) == bed(b, 1)), 2.0).otherwise(-2.5)
-    wards = F.when(bed(a, 2).isNull() | bed(b, 2).isNull(), 0.0).when(F.abs(bed(a, 2) - bed(b, 2)) <= F.greatest(F.lit(8), bed(a, 2) * 0.04), 1.0).otherwise(-2.0)
-    return both("phone", 4.0, -2.0) + both("road", 3.5, -2.5) + both("lot", 3.0, -1.5) + both("postal", 1.5, -1.0) + near + emergency + wards
+    def both(x: Column, y: Column, same: Column) -> Column:
+        return F.when(x.isNull() | y.isNull(), None).when(same, 1).otherwise(0)
+
+    at = lambda s, f: F.col(f"{s}.{f}")
+    bed = lambda s, i: F.get(at(s, "beds"), F.lit(i))
+    km = haversine_km(at(a, "lat"), at(a, "lon"), at(b, "lat"), at(b, "lon"))
+    near = F.when(km.isNull(), None).when(km <= NEAR_KM, 0).when(km <= 0.25, 1).when(km <= 1.0, 2).otherwise(3)
+    emergency = F.when(bed(a, 1).isNull() | bed(b, 1).isNull(), None).otherwise(both(bed(a, 0), bed(b, 0), (bed(a, 0) == bed(b, 0)) & (bed(a, 1) == bed(b, 1))))
+    wards = both(bed(a, 2), bed(b, 2), F.abs(bed(a, 2) - bed(b, 2)) <= F.greatest(F.lit(8), bed(a, 2) * 0.04))
+    equal = {c: both(at(a, c), at(b, c), at(a, c) == at(b, c)) for c in ("phone", "road", "lot", "postal")}
+    return equal | {"near": near, "emergency": emergency, "wards": wards}

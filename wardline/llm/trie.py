@@ -1,22 +1,29 @@
 """Similarity join of short strings by traversing one trie along another.
 
-The dictionary of a block is a trie. The queries form a trie as well, walked depth
-first: each of its nodes keeps the dictionary nodes within the edit bound of its
-prefix (the states of a Levenshtein automaton), computed from those of its parent, so
-that common prefixes are worked out once. Blocks are bounded: a crowded block key is
-split into parts of queries and parts of the dictionary, each pair of parts a task.
+Rows lie in shards, such as a town or a token of a place in a town. The strings of a
+shard are a trie; those asked for form a trie as well, walked depth first: each of its
+nodes keeps the nodes of the other trie within the edit bound of its prefix (the states
+of a Levenshtein automaton), computed from those of its parent, so that common prefixes
+are worked out once. A crowded shard is cut: strings within k edits share one of k + 1
+segments of one of them at nearly the same place, so that a string meets only the cuts
+it can reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct strings per part of a block.
-PART = 1000
+from wardline.operators.skew import split_join
+from wardline.session import cut
+
+#: Rows of a shard beyond which it is cut by segments, and rows of a side of a cut that meet in one task.
+PART = 1500
 
 
 class Trie:
@@ -73,50 +80,200 @@ def trie_join(queries: list[tuple[str, int]], dictionary: list[tuple[str, int]],
                 stack.append((to, _closed(after, children, bound)))
 
 
-Forms = Callable[[str, bool], list[tuple[str, int]]]
+class Form(NamedTuple):
+    """A string under which a word is asked for or found.
+
+    ``sort``: only strings of one sort are compared. ``edits``: those allowed; for a
+    pair the larger of the two counts. ``most``: the largest of all strings of the sort.
+    ``cost`` is added to the edits that are reported.
+    """
+
+    sort: str
+    text: str
+    edits: int
+    most: int
+    asks: bool = True
+    cost: int = 0
+
+
+Forms = Callable[[str], Sequence[Form]]
+
+
+def near_words(forms: Forms, left: Iterable[str], right: Iterable[str] | None = None) -> dict[tuple[str, str], int]:
+    """(left word, right word) and their edits, if some form of one asks for one of the other.
+
+    All forms are found; those that don't ask are found by asking ones of the other side.
+    Without ``right`` the left words are compared with each other, both ways round.
+    """
+    own = right is None
+    sides = [[(w, f) for w in words for f in forms(w)] for words in ([left] if own else [left, right])]
+    best: dict[tuple[str, str], int] = {}
+    for turned in (False, True):
+        asked, found = (sides[0], sides[-1]) if not turned else (sides[-1], sides[0])
+        if turned:
+            if own:
+                break
+            asked = [(w, f) for w, f in asked if f.asks]
+            sorts = {f.sort for _, f in asked}
+            found = [(w, f) for w, f in found if not f.asks and f.sort in sorts]
+        for sort in {f.sort for _, f in asked if f.asks}:
+            q = [(w, f) for w, f in asked if f.asks and f.sort == sort]
+            d = [(w, f) for w, f in found if f.sort == sort]
+            bound = max((f.edits for _, f in q + d), default=0)
+            for i, j, edits in trie_join([(f.text, i) for i, (_, f) in enumerate(q)], [(f.text, j) for j, (_, f) in enumerate(d)], bound):
+                (a, x), (b, y) = q[i], d[j]
+                pair = (b, a) if turned else (a, b)
+                told = edits + max(x.cost, y.cost)
+                if edits <= max(x.edits, y.edits) and best.get(pair, told + 1) > told:
+                    best[pair] = told
+    return best
+
+
+def cuts(forms: Sequence[Form]) -> tuple[set[str], set[str]]:
+    """Keys under which a word lies in a crowded shard as found, and those under which it asks.
+
+    A found string of length n gives its ``most + 1`` segments; an asking one the pieces
+    that can be such a segment of a string of each length within reach.
+    """
+    lie: set[str] = set()
+    ask: set[str] = set()
+    for form in forms:
+        k, size = form.most, len(form.text)
+        for i in range(k + 1):
+            lie.add(f"{form.sort}{size}.{i}.{form.text[i * size // (k + 1) : (i + 1) * size // (k + 1)]}")
+        for length in range(max(0, size - k), size + k + 1) if form.asks else ():
+            more = size - length
+            for i in range(k + 1):
+                start, stop = i * length // (k + 1), (i + 1) * length // (k + 1)
+                # i edits at most lie before the segment, or k - i behind it
+                for at in range(max(0, start - i, start + more - (k - i)), min(size - (stop - start), start + i, start + more + (k - i)) + 1):
+                    ask.add(f"{form.sort}{length}.{i}.{form.text[at : at + stop - start]}")
+    return lie, ask
+
+
+LEFT, RIGHT = 1, 2
+_PAIR = ["key_a", "key_b", "edits", "kind_a", "kind_b"]
+
+
+def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str, str], bool]) -> DataFrame:
+    """Near pairs within each ``shard, piece, i, j`` of ``placed``; ``side`` tells whether a row is asked for, found or both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(20_000)(lambda words: near_words(forms, words))
+        out: tuple[list, ...] = ([], [], [], [], [])
+
+        def emitted() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=_PAIR)
+            for c in out:
+                c.clear()
+            return batch
+
+        def meet(rows: list[tuple[int, str, str, str]]) -> Iterator[pa.RecordBatch]:
+            sides: tuple[dict, dict] = ({}, {})
+            for side, key, word, kind in rows:
+                for n, flag in enumerate((LEFT, RIGHT)):
+                    if side & flag:
+                        sides[n].setdefault(word, []).append((key, kind))
+            if not sides[0] or not sides[1]:
+                return
+            same = own and sides[0].keys() == sides[1].keys()
+            near = known(tuple(sorted(sides[0]))) if same else near_words(forms, sides[0], sides[1])
+            for (a, b), edits in near.items():
+                if same and a > b and near.get((b, a), edits + 1) <= edits:
+                    continue  # met the other way round
+                for key_a, kind_a in sides[0][a]:
+                    for key_b, kind_b in sides[1][b]:
+                        if own and (key_a == key_b or a == b and same and key_a > key_b) or not compatible(kind_a, kind_b):
+                            continue
+                        if own and key_b < key_a:
+                            pair = (key_b, key_a, edits, kind_b, kind_a)
+                        else:
+                            pair = (key_a, key_b, edits, kind_a, kind_b)
+                        for c, v in zip(out, pair):
+                            c.append(v)
+                if len(out[0]) >= 10_000:
+                    yield emitted()
+
+        last, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("shard", "piece", "i", "j", "side", "key", "word", "kind")]
+            for shard, piece, i, j, *row in zip(*columns):
+                if (shard, piece, i, j) != last:
+                    if len(rows) > 1:
+                        yield from meet(rows)
+                    last, rows = (shard, piece, i, j), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield from meet(rows)
+        if out[0]:
+            yield emitted()
+
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    at = ["shard", "piece", "i", "j"]
+    dealt = placed.select(*at, "side", "key", "word", "kind").repartition(tasks, *at).sortWithinPartitions(*at)  # few bytes, much work: not to be coalesced
+    return dealt.mapInArrow(run, "key_a string, key_b string, edits int, kind_a string, kind_b string")
+
+
+def _near_in_cuts(words: DataFrame, own: bool, forms: Forms, part: int) -> DataFrame:
+    """``shard, a, b, edits``: near words of crowded shards, met in the cuts that they reach. ``words``: ``shard, side, word``."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sides, pieces = [], [], []
+            for n, (side, word) in enumerate(zip(batch.column("side").to_pylist(), batch.column("word").to_pylist())):
+                lie, ask = cuts(forms(word))
+                for piece in lie | ask:
+                    both = piece in lie and piece in ask
+                    at.append(n)
+                    sides.append(side if both or side != LEFT | RIGHT else RIGHT if piece in lie else LEFT)
+                    pieces.append(piece)
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column("shard"), pa.array(sides, pa.int32()), taken.column("word"), pa.array(pieces, pa.string())], names=["shard", "side", "word", "piece"])
+
+    pieces = words.select("shard", "side", "word").mapInArrow(spread, "shard string, side int, word string, piece string")
+    on = lambda side: F.col("side").bitwiseAND(F.lit(side)) > 0
+    parts = lambda side: F.ceil(F.count_if(on(side)) / part).cast("int")
+    sizes = pieces.groupBy("shard", "piece").agg(parts(LEFT).alias("ls"), parts(RIGHT).alias("rs")).where("ls > 1 or rs > 1")
+    met = pieces.join(sizes, ["shard", "piece"], "left")
+    dealt = lambda n: F.pmod(F.xxhash64("word"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - 1)))
+    split = met.where("ls is not null")
+    placed = met.where("ls is null").withColumns({"i": F.lit(0), "j": F.lit(0)}).drop("ls", "rs")
+    placed = placed.unionByName(split.where(on(LEFT)).withColumns({"side": F.lit(LEFT), "i": dealt("ls")}).withColumn("j", every("rs")).drop("ls", "rs"))
+    placed = placed.unionByName(split.where(on(RIGHT)).withColumns({"side": F.lit(RIGHT), "j": dealt("rs")}).withColumn("i", every("ls")).drop("ls", "rs"))
+    tagged = placed.withColumns({"key": F.concat_ws("\x1f", "shard", "word"), "kind": F.lit("")})
+    found = _met(tagged, own, forms, lambda a, b: True).groupBy("key_a", "key_b").agg(F.min("edits").alias("edits"))
+    piece = lambda key, n: F.get(F.split(key, "\x1f"), F.lit(n))
+    near = found.select(piece("key_a", 0).alias("shard"), piece("key_a", 1).alias("a"), piece("key_b", 1).alias("b"), "edits")
+    return near.unionByName(words.select("shard", F.col("word").alias("a"), F.col("word").alias("b"), F.lit(0).alias("edits")).distinct()) if own else near
 
 
-def neighbours(queries: DataFrame, dictionary: DataFrame, forms: Forms, part: int = PART) -> DataFrame:
-    """``block, query, word, edits``: the words of the same block near each query, itself included.
+def near_rows(left: DataFrame, right: DataFrame | None, forms: Forms, compatible: Callable[[str, str], bool], same: Callable[[Column, Column], Column], part: int = PART) -> DataFrame:
+    """``key_a, key_b, edits, kind_a, kind_b``: pairs of rows of a shard whose words are near and whose kinds are compatible.
 
-    Both sides have ``block`` (returned as text) and ``word``; nulls take no part, repeats count once.
-    ``forms(word, asked)`` gives the strings under which a word is asked for or found,
-    each with the edits allowed for it; strings that must not be mixed carry different
-    first characters. The edits allowed for a pair are the larger of the two.
+    Rows are ``shard, key, word, kind`` (text without nulls, distinct). ``compatible``
+    tells of two kinds in a task, ``same`` of two columns. Without ``right`` pairs of
+    different rows of ``left``, the smaller key first. A pair can come several times,
+    with different edits. Shards are met whole; in one of more than ``part`` rows the
+    distinct words are cut by segments, and the rows of near words joined.
     """
-    q = queries.where(F.col("block").isNotNull() & F.col("word").isNotNull()).select(F.col("block").cast("string"), "word").distinct()
-    d = dictionary.where(F.col("block").isNotNull() & F.col("word").isNotNull()).select(F.col("block").cast("string"), "word").distinct()
-    parts = lambda df, name: df.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
-    sizes = parts(q, "q_parts").join(parts(d, "d_parts"), "block")
-    spread = lambda own, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(own)
-    dealt = lambda name: F.pmod(F.xxhash64("word"), F.col(name)).cast("int")
-    asked = q.join(sizes, "block").select("block", dealt("q_parts").alias("q_part"), spread("d_part", "d_parts"), "word", F.lit(True).alias("asked"))
-    found = d.join(sizes, "block").select("block", spread("q_part", "q_parts"), dealt("d_parts").alias("d_part"), "word", F.lit(False).alias("asked"))
-
-    def run(rows: pa.Table) -> pa.Table:
-        words = rows.column("word").to_pylist()
-        entries: tuple[list, list] = ([], [])
-        allowed: dict[int, tuple[int, int]] = {}
-        for i, (word, is_asked) in enumerate(zip(words, rows.column("asked").to_pylist())):
-            for text, edits in forms(word, bool(is_asked)):
-                number = len(allowed)
-                allowed[number] = (i, edits)
-                entries[int(is_asked)].append((text, number))
-        best: dict[tuple[int, int], int] = {}
-        bound = max((e for _, e in allowed.values()), default=0)
-        for a, b, edits in trie_join(entries[1], entries[0], bound):
-            (i, most_a), (j, most_b) = allowed[a], allowed[b]
-            if edits <= max(most_a, most_b) and best.get((i, j), 99) > edits:
-                best[i, j] = edits
-        return pa.table(
-            {
-                "block": pa.array([rows.column("block")[0].as_py()] * len(best), pa.string()),
-                "query": pa.array([words[i] for i, _ in best], pa.string()),
-                "word": pa.array([words[j] for _, j in best], pa.string()),
-                "edits": pa.array(best.values(), pa.int32()),
-            }
-        )
-
-    tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    both = asked.unionByName(found).repartition(tasks, "block", "q_part", "d_part")  # few bytes, much work: not to be coalesced
-    return both.groupBy("block", "q_part", "d_part").applyInArrow(run, "block string, query string, word string, edits int")
+    own = right is None
+    sided = lambda rows, side: rows.select("shard", F.lit(side).alias("side"), "key", "word", "kind")
+    rows = sided(left, LEFT | RIGHT) if own else sided(left, LEFT).unionByName(sided(right, RIGHT))
+    crowded = cut(rows.groupBy("shard").count().where(F.col("count") > part).select("shard"))
+    plain = {"piece": F.lit(""), "i": F.lit(0), "j": F.lit(0)}
+    if crowded.isEmpty():
+        return _met(rows.withColumns(plain), own, forms, compatible)
+    few = _met(rows.join(crowded, "shard", "left_anti").withColumns(plain), own, forms, compatible)
+    many = rows.join(crowded, "shard", "left_semi")
+    near = _near_in_cuts(many.groupBy("shard", "word").agg(F.bit_or("side").alias("side")) if own else many.select("shard", "side", "word").distinct(), own, forms, part)
+    on = lambda side: many.where(F.col("side").bitwiseAND(F.lit(side)) > 0)
+    asked = split_join(near.withColumnRenamed("a", "word"), on(LEFT).drop("side"), ["shard", "word"]).select("shard", F.col("b").alias("word"), "edits", F.col("word").alias("a"), F.col("key").alias("key_a"), F.col("kind").alias("kind_a"))
+    pairs = split_join(asked, on(RIGHT).select("shard", "word", F.col("key").alias("key_b"), F.col("kind").alias("kind_b")), ["shard", "word"]).where(same(F.col("kind_a"), F.col("kind_b")))
+    if own:
+        pairs = pairs.where((F.col("key_a") != F.col("key_b")) & ((F.col("a") != F.col("word")) | (F.col("key_a") < F.col("key_b"))))
+        first = F.col("key_a") < F.col("key_b")
+        either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+        pairs = pairs.select(either("key_a", "key_b").alias("key_a"), either("key_b", "key_a").alias("key_b"), "edits", either("kind_a", "kind_b").alias("kind_a"), either("kind_b", "kind_a").alias("kind_b"))
+    return few.unionByName(pairs.select(*_PAIR))

@@ -1,45 +1,56 @@
 """Variant spellings of names: rows that mean the same institution, linked.
 
-A trie join enumerates, town by town, the spellings within a few letters of each other,
-also after putting their syllables in one order. Rows under such spellings that share a
-token of place are compared; agreeing ones are linked and the links closed into classes.
+Rows of a town that share a token of place are a shard. A trie join enumerates, shard by
+shard, the spellings within a few letters of each other, also after putting their
+syllables in one order. Rows under such spellings are compared; agreeing ones are
+linked and the links closed into classes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
-from wardline.llm.names import _HANGUL, romanized, spelled
-from wardline.llm.places import evidence, folded, place_tokens
-from wardline.llm.trie import neighbours
+from wardline.llm.names import _HANGUL, compatible, romanized, spelled
+from wardline.llm.places import COMPARED, agreements, folded, place_tokens
+from wardline.llm.trie import Form, near_rows
 from wardline.session import cut
 
 #: Points of evidence from which two rows under near names are linked.
 LINK_POINTS = 3.0
 #: Keys of one name that are handled as one row when a class is written out in pairs.
 CHUNK = 500
-#: Rows under one token and word that are met in one task; of more, each part is met apart.
-CROWD = 500
+#: Points of each level of agreement, as log odds: a phone or road in common all but decides, positions far apart decide against.
+POINTS = {
+    "phone": (-2.0, 4.0), "road": (-2.5, 3.5), "lot": (-1.5, 3.0), "postal": (-1.0, 1.5),
+    "near": (1.5, 0.0, -2.5, -6.0), "emergency": (-2.5, 2.0), "wards": (-2.0, 1.0),
+}
+#: Rows of a town beyond which its names are cut into pieces.
+TOWN = 8000
 
 
-def spellings(core: str, asked: bool) -> list[tuple[str, int]]:
+@lru_cache(100_000)
+def spellings(core: str) -> tuple[Form, ...]:
     """Strings of a core for the trie, with the edits allowed.
 
     By letters (a syllable more or less is up to three edits), by letters of the sorted
-    syllables (parts in another order), and by transcription, which is asked for only
-    where the core is in Latin letters. Short ones allow fewer edits.
+    syllables (parts in another order), by transcription, and by the sorted letters of
+    that, which count an edit more. Transcriptions are asked for only where the core is
+    in Latin letters. Short ones allow fewer edits.
     """
-    latin = core if not _HANGUL.search(core) else romanized(core)
-    out = []
-    if core != latin:
-        letters = spelled(core)
-        out.append(("h" + letters, 3 if len(letters) >= 7 else 2))
-        out.append(("s" + spelled("".join(sorted(core))), 2 if len(letters) >= 7 else 1))
-    if core == latin or not asked:
-        out.append(("r" + latin, 3 if len(latin) >= 8 else 2))
-    return out
+    latin = not _HANGUL.search(core)
+    roman = core if latin else romanized(core)
+    out = [
+        Form("r", roman, 3 if len(roman) >= 8 else 2, 3, latin),
+        Form("t", "".join(sorted(roman)), 1 if len(roman) >= 8 else 0, 1, latin, 1),
+    ]
+    if not latin:
+        letters, turned = spelled(core), spelled("".join(sorted(core)))
+        out += [Form("h", letters, 3 if len(letters) >= 7 else 2, 3), Form("s", turned, 2 if len(letters) >= 7 else 1, 2)]
+    return tuple(out)
 
 
 def same_kind(a: Column, b: Column) -> Column:
@@ -48,67 +59,44 @@ def same_kind(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "") | part
 
 
-def _met(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join on ``on``; crowded keys of ``targets`` are split into parts that the rows meet one by one."""
-    crowded = targets.groupBy(*on).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = targets.join(crowded, on, "left").withColumn("part", F.pmod(F.xxhash64("key_b"), parts).cast("int")).drop("parts")
-    asked = rows.join(crowded, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return asked.join(dealt, [*on, "part"])
-
-
-def candidate_links(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """``a, b`` (folded rows), ``edits, kind_a, kind_b``: rows of near names and compatible kinds, within ``left`` those that share a place token.
+def candidate_links(left: DataFrame, right: DataFrame | None = None, town: int = TOWN) -> DataFrame:
+    """``key_a, key_b, edits, kind_a, kind_b``: rows of near names and compatible kinds, within ``left`` those that share a place token.
 
     Within ``left`` one stands for all rows equal in all but their key; it is linked to
     each of the others, so that a crowd of equal rows gives as many links as rows. Rows
     that differ in any evidence are all compared. With ``right`` the links go from rows
-    of ``left`` to all rows of ``right`` whose names are near, however many bear them.
+    of ``left`` to all rows of ``right`` in their town whose names are near, however many bear them.
     """
-    def named(rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.withColumn("reading", F.explode("readings")).select("key", "block", F.col("reading.core").alias("core"), F.col("reading.kind").alias("kind"), *more).distinct()
+    def named(rows: DataFrame, shard: Column, *more: Column) -> DataFrame:
+        return rows.where(F.col("block").isNotNull()).select("key", "block", F.explode("readings").alias("reading"), *more).select(shard.alias("shard"), "key", F.col("reading.core").alias("word"), F.col("reading.kind").alias("kind"))
 
-    own = right is None
-    if own:
+    if right is None:
         alike_rows = Window.partitionBy(*(c for c in left.columns if c != "key"))
         headed = cut(left.where(F.size("readings") > 0).withColumn("head", F.min("key").over(alike_rows)))
-        heads = headed.where(F.col("key") == F.col("head")).drop("head")
-        asked = found = cut(named(heads, F.explode(place_tokens()).alias("token")))
-    else:
-        asked, found = cut(named(left)), cut(named(right))
-    words = asked.select("block", F.col("core").alias("word")).distinct()
-    near = neighbours(words, words, spellings)
-    if not own:
-        known = found.select("block", F.col("core").alias("word")).distinct()
-        near = neighbours(words, known, spellings)
-        # transcriptions are asked for on one side only: the register's in the other direction
-        latin = known.where(~F.col("word").rlike("[가-힣]"))
-        back = neighbours(latin, words, spellings).select("block", F.col("word").alias("query"), F.col("query").alias("word"), "edits")
-        near = near.unionByName(back).groupBy("block", "query", "word").agg(F.min("edits").alias("edits"))
-    near = cut(near)
-    targets = found.withColumnsRenamed({"core": "word", "kind": "kind_b", "key": "key_b"})
-    met = (
-        _met(asked.join(near.withColumnRenamed("query", "core"), ["block", "core"]), targets, ["block", "token", "word"] if own else ["block", "word"])
-        .where(same_kind(F.col("kind"), F.col("kind_b")))
-        .select(F.col("key").alias("key_a"), "key_b", F.col("kind").alias("kind_a"), "kind_b", "edits")
-    )
-    if own:
-        first = F.col("key_a") < F.col("key_b")  # a transcription is asked for in one direction only
-        turned = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("key_a", "key_b"), ("key_b", "key_a"), ("kind_a", "kind_b"), ("kind_b", "kind_a"))]
-        met = met.where(F.col("key_a") != F.col("key_b")).select(*turned, "edits")
+        heads = headed.where(F.col("key") == F.col("head"))
+        tokens = heads.withColumn("tokens", F.array_distinct(place_tokens())).select("key", "block", "readings", F.explode("tokens").alias("token"))
+        met = near_rows(named(tokens, F.concat_ws("\x1e", "block", "token"), F.col("token")), None, spellings, compatible, same_kind)
         kind = F.array_max(F.col("readings.kind"))
-        stars = headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), kind.alias("kind_a"), kind.alias("kind_b"), F.lit(0).alias("edits"))
-        met = met.unionByName(stars)
-    met = cut(met).groupBy("key_a", "key_b").agg(F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b")).alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
-    keyed = lambda rows, side: rows.select(F.col("key").alias(f"key_{side}"), F.struct(*rows.columns).alias(side))
-    return met.join(keyed(left, "a"), "key_a").join(keyed(left if own else right, "b"), "key_b")
+        met = met.unionByName(headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"), kind.alias("kind_a"), kind.alias("kind_b")))
+    else:
+        whole = F.col("block").cast("string")
+        met = near_rows(named(left, whole), named(right, whole), spellings, compatible, same_kind, town)
+    best = F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b"))
+    return met.groupBy("key_a", "key_b").agg(best.alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
+
+
+def compared(links: DataFrame, left: DataFrame, right: DataFrame, levels: dict[str, Column]) -> DataFrame:
+    """Links with the columns ``levels``, made of the rows' ``COMPARED`` columns as ``a`` and ``b``; these are joined once, and narrow."""
+    keyed = lambda rows, side: rows.select(F.col("key").alias(f"key_{side}"), F.struct(*[c for c in COMPARED if c in rows.columns]).alias(side))
+    return cut(links).join(keyed(left, "a"), "key_a").join(keyed(right, "b"), "key_b").withColumns(levels)
 
 
 def link_points() -> Column:
     """Evidence of place plus that of the name: fewer edits and equal kinds are better."""
     name = F.when(F.col("edits") == 0, 1.0).when(F.col("edits") == 1, 0.5).when(F.col("edits") == 2, 0.0).otherwise(-0.5)
     kind = F.when((F.col("kind_a") == F.col("kind_b")) & (F.col("kind_a") != ""), 0.5).otherwise(0.0)
-    return evidence("a", "b") + name + kind
+    place = [F.coalesce(F.get(F.array(*map(F.lit, POINTS[c])), level), F.lit(0.0)) for c, level in agreements("a", "b").items()]
+    return sum(place, name + kind)
 
 
 def variant_classes(rows: DataFrame, points: float = LINK_POINTS) -> DataFrame:
@@ -123,7 +111,7 @@ def linked_classes(plain: DataFrame, points: float = LINK_POINTS) -> DataFrame:
     A row without a readable name, or with nothing about its place, is in no class.
     A row whose kind is unknown joins houses of one kind only, those it agrees with most.
     """
-    links = candidate_links(plain).withColumn("points", link_points()).where(F.col("points") >= points)
+    links = compared(candidate_links(plain), plain, plain, {"points": link_points()}).where(F.col("points") >= points)
     links = cut(links.select("key_a", "key_b", "kind_a", "kind_b", "points"))
     unsure = links.where((F.col("kind_a") == "") != (F.col("kind_b") == ""))
     turned = unsure.select(F.when(F.col("kind_a") == "", F.col("key_a")).otherwise(F.col("key_b")).alias("key"), F.greatest("kind_a", "kind_b").alias("kind"), "points")
