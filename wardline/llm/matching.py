@@ -28,7 +28,7 @@ DAMPED_AFTER = 8
 
 #: Fields of a candidate, and how often their levels occur among matches and others before anything is fitted.
 FIELDS = (
-    Field("name", (0.75, 0.1, 0.08, 0.07), (0.02, 0.05, 0.2, 0.73)),
+    Field("name", (0.75, 0.1, 0.08, 0.05, 0.02), (0.02, 0.05, 0.13, 0.4, 0.4)),
     Field("kind_level", (0.8, 0.15, 0.05), (0.6, 0.25, 0.15)),
     Field("phone", (0.1, 0.9), (0.995, 0.005)),
     Field("road", (0.1, 0.9), (0.995, 0.005)),
@@ -48,7 +48,7 @@ def levels() -> dict[str, Column]:
     beds = F.when((x > 0) & (y > 0), F.when(off <= F.greatest(F.lit(4.0), y * 0.04), 2).when(off <= y * 0.12, 1).otherwise(0))
     known = (F.col("kind_a") != "") & (F.col("kind_b") != "")
     kind = F.when(~known, 1).when(F.col("kind_a") == F.col("kind_b"), 0).otherwise(2)
-    return {"name": F.least(F.col("edits"), F.lit(3)), "kind_level": kind, "beds": beds} | {k: v for k, v in agreements("a", "b").items() if k in PLACE}
+    return {"name": F.least(F.col("edits"), F.lit(4)), "kind_level": kind, "beds": beds} | {k: v for k, v in agreements("a", "b").items() if k in PLACE}
 
 
 def _lone(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

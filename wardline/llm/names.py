@@ -132,7 +132,8 @@ def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
     for ending, kind in KINDS.items():
         n = len(ending)
         if text.endswith(ending) and len(text) > n:
-            found.append((-0.6 * n, text[:-n], kind))
+            if n == exact or n == 2 and text.endswith("대병원"):  # which may be an abbreviation, or a name that ends so
+                found.append((-0.6 * n, text[:-n], kind))
             continue
         if n <= exact or n == 2 and ending not in ("병원", "의원") or n == 3 and ending[-1] != "원":
             continue
@@ -160,12 +161,13 @@ def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
     return tuple(out) or ((text, ""),)
 
 
-def parse(name: str | None, town: str | None = None) -> list[tuple[str, str]]:
+def parse(name: str | None, town: str | None = None, keyboard: bool = True) -> list[tuple[str, str]]:
     """Readings ``(core, kind)`` of a name, the likeliest first; [] for an empty name.
 
     ``core`` is Hangul, or lower-case Latin letters where only a transcription is known;
     ``kind`` is "" where none is given. ``town`` is the town's name without its suffix.
-    Repeated syllables are merged, and left as they are in a later reading.
+    Repeated syllables are merged, and left as they are in a later reading. With
+    ``keyboard`` Latin letters are read as keys of the Hangul keyboard first, where that is possible.
     """
     text = clean(name).replace("요양원(병원)", "요양병원")
     text = _DEPARTMENT.sub("", _LEGAL.sub(" ", text))
@@ -173,14 +175,15 @@ def parse(name: str | None, town: str | None = None) -> list[tuple[str, str]]:
     if town:
         text = re.sub(rf"\(\s*{re.escape(town)}\s*\)|\s-\s*{re.escape(town)}\s*$", " ", text)
     text = re.sub(r"\([^)]*\)?", " ", text).strip()
-    kind = ""
+    kind, typed = "", False
     if re.search(r"[A-Za-z]{2}", text):
         for pattern, found in ENGLISH:
             if re.search(rf"\b{pattern}(?!\w)", text, re.I):
                 kind, text = found, re.sub(rf"\b{pattern}(?!\w)", " ", text, count=1, flags=re.I)
                 break
-        if not kind:
+        if not kind and keyboard:
             text = re.sub(r"[A-Za-z]+", lambda m: from_keyboard(m.group()) or m.group(), text)
+            typed = _HANGUL.search(text) is not None
     words = [w for w in re.split(r"[\s\-]+", text) if w]
     if not words:
         return []
@@ -211,6 +214,8 @@ def parse(name: str | None, town: str | None = None) -> list[tuple[str, str]]:
         out.append((core, kind))
         if town and not core.startswith(town) and not kind and len(core) >= 3 and core[0] == town[0]:
             out.append((core[1:], kind))
+    if typed:
+        out += parse(name, town, keyboard=False)
     return list(dict.fromkeys(out))
 
 

@@ -43,6 +43,13 @@ def phone_key(phone: str | None) -> str | None:
     return digits[-7:] if len(digits) >= 7 else None
 
 
+def readings_of(name: str | None, town: str | None, stated: str | None) -> list[tuple[str, str]]:
+    """Readings of a name, then those of a stated one that are of a kind of the name's own."""
+    own = parse(name, town)
+    kinds = {kind for _, kind in own}
+    return list(dict.fromkeys([*own, *((core, kind) for core, kind in parse(stated, town) if kind in kinds)]))
+
+
 FOLDED = "key string, block string, readings array<struct<core:string,kind:string>>, phone string, road string, lot string, postal string, lat double, lon double, beds array<int>"
 
 
@@ -50,10 +57,12 @@ def folded(rows: DataFrame) -> DataFrame:
     """One row per key with its readings of the name and keys of its place.
 
     ``rows``: ``key, block, name, town, phone, addresses (array), postal, lat, lon,
-    beds (array)``. Repeated keys keep one row. Rows with a null key are left out. A null
-    or empty name has no readings.
+    beds (array)``, and ``stated`` if there is another list's name for the row: it may
+    be wrong, but is a further reading of the row's own kind. Repeated keys keep one row.
+    Rows with a null key are left out. A null or empty name has no readings of its own.
     """
-    columns = ["key", "block", "name", "town", "phone", "addresses", "postal", "lat", "lon", "beds"]
+    columns = ["key", "block", "name", "town", "phone", "addresses", "postal", "lat", "lon", "beds", "stated"]
+    rows = rows if "stated" in rows.columns else rows.withColumn("stated", F.lit(None).cast("string"))
     ok = usable(F.col("lat"), F.col("lon"))
     one = rows.where(F.col("key").isNotNull()).select(*columns).withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double")).withColumn("beds", F.col("beds").cast("array<int>")).dropDuplicates(["key"])
     one = one.withColumn("lon", F.when(ok, F.col("lon"))).withColumn("lat", F.when(ok, F.col("lat")))
@@ -64,7 +73,7 @@ def folded(rows: DataFrame) -> DataFrame:
         first = lambda keys: next((k for k in keys if k), None)
         for batch in batches:
             f = {n: batch.column(i).to_pylist() for i, n in enumerate(columns) if n not in ("key", "block", "postal", "lat", "lon", "beds")}
-            parsed = [[{"core": c, "kind": k} for c, k in parse(n, t)] for n, t in zip(f["name"], f["town"])]
+            parsed = [[{"core": c, "kind": k} for c, k in readings_of(*names)] for names in zip(f["name"], f["town"], f["stated"])]
             kept = lambda n: batch.column(columns.index(n))
             arrays = [
                 kept("key"),

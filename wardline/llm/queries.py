@@ -25,6 +25,7 @@ def hospital_rows(spark: SparkSession, d: str) -> DataFrame:
         F.col("node_id").alias("key"),
         F.col("municipality_code").alias("block"),
         F.col("hospital_name").alias("name"),
+        F.col("hira_hospital_name").alias("stated"),
         "phone",
         F.array("road_address", "lot_address").alias("addresses"),
         F.col("postal_code").alias("postal"),
@@ -52,6 +53,7 @@ def register_rows(spark: SparkSession, d: str) -> DataFrame:
         F.col("care_symbol").alias("key"),
         _town().alias("block"),
         F.col("hira_hospital_name").alias("name"),
+        F.lit(None).cast("string").alias("stated"),
         _town().alias("town"),
         "phone",
         F.array("address").alias("addresses"),
@@ -73,6 +75,7 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
         town.alias("town"),
         F.col("tel").alias("phone"),
         F.array("addr").alias("addresses"),
+        F.lit(None).cast("string").alias("stated"),
         F.lit(None).cast("string").alias("postal"),
         F.lit(None).cast("double").alias("lat"),
         F.lit(None).cast("double").alias("lon"),

@@ -9,6 +9,7 @@ linked and the links closed into classes.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ TOWN = 8000
 
 @lru_cache(100_000)
 def spellings(core: str) -> tuple[Form, ...]:
-    """Strings of a core for the trie, with the edits allowed.
+    """Strings of a core for the trie of a town, with the edits allowed.
 
     By letters (a syllable more or less is up to three edits), by letters of the sorted
     syllables (parts in another order), by transcription, and by the sorted letters of
@@ -53,6 +54,28 @@ def spellings(core: str) -> tuple[Form, ...]:
     return tuple(out)
 
 
+@lru_cache(100_000)
+def wide_spellings(core: str) -> tuple[Form, ...]:
+    """Strings of a core for the trie of one place, where rows agree in more than the name.
+
+    A lost syllable and a wrong letter beside it are allowed, and of cores of up to
+    three syllables every order of them is asked for, wrong letters or not.
+    """
+    latin = not _HANGUL.search(core)
+    roman = core if latin else romanized(core)
+    out = [
+        Form("r", roman, 4 if len(roman) >= 8 else 3 if len(roman) >= 6 else 2, 4, latin),
+        Form("t", "".join(sorted(roman)), 1 if len(roman) >= 8 else 0, 1, latin, 1),
+    ]
+    if not latin:
+        letters, turned = spelled(core), spelled("".join(sorted(core)))
+        out += [Form("h", letters, 4 if len(letters) >= 8 else 3 if len(letters) >= 6 else 2, 4), Form("s", turned, 3 if len(letters) >= 7 else 1, 3)]
+        if len(core) <= 3:
+            orders = {"".join(p) for p in permutations(core)} - {core}
+            out += [Form("p", letters, 2, 2, False), *(Form("p", spelled(p), 2 if len(letters) >= 7 else 1, 2) for p in sorted(orders))]
+    return tuple(out)
+
+
 def same_kind(a: Column, b: Column) -> Column:
     """Kinds that can be the same house: equal, one unknown, or an orthopedic one not told fully."""
     part = (F.least(a, b) == "orthopedic") & F.greatest(a, b).startswith("orthopedic")
@@ -65,22 +88,27 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, town: int =
     Within ``left`` one stands for all rows equal in all but their key; it is linked to
     each of the others, so that a crowd of equal rows gives as many links as rows. Rows
     that differ in any evidence are all compared. With ``right`` the links go from rows
-    of ``left`` to all rows of ``right`` in their town whose names are near, however many bear them.
+    of ``left`` to all rows of ``right`` in their town whose names are near, however many
+    bear them, and to those that share a place token under names a little farther off.
     """
     def named(rows: DataFrame, shard: Column, *more: Column) -> DataFrame:
         return rows.where(F.col("block").isNotNull()).select("key", "block", F.explode("readings").alias("reading"), *more).select(shard.alias("shard"), "key", F.col("reading.core").alias("word"), F.col("reading.kind").alias("kind"))
 
+    def at_places(rows: DataFrame) -> DataFrame:
+        tokens = rows.withColumn("tokens", F.array_distinct(place_tokens())).select("key", "block", "readings", F.explode("tokens").alias("token"))
+        return named(tokens, F.concat_ws("\x1e", "block", "token"), F.col("token"))
+
     if right is None:
         alike_rows = Window.partitionBy(*(c for c in left.columns if c != "key"))
         headed = cut(left.where(F.size("readings") > 0).withColumn("head", F.min("key").over(alike_rows)))
         heads = headed.where(F.col("key") == F.col("head"))
-        tokens = heads.withColumn("tokens", F.array_distinct(place_tokens())).select("key", "block", "readings", F.explode("tokens").alias("token"))
-        met = near_rows(named(tokens, F.concat_ws("\x1e", "block", "token"), F.col("token")), None, spellings, compatible, same_kind)
+        met = near_rows(at_places(heads), None, wide_spellings, compatible, same_kind)
         kind = F.array_max(F.col("readings.kind"))
         met = met.unionByName(headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"), kind.alias("kind_a"), kind.alias("kind_b")))
     else:
         whole = F.col("block").cast("string")
         met = near_rows(named(left, whole), named(right, whole), spellings, compatible, same_kind, town)
+        met = met.unionByName(near_rows(at_places(left), at_places(right), wide_spellings, compatible, same_kind))
     best = F.min(F.struct("edits", (F.col("kind_a") != F.col("kind_b")).alias("differ"), "kind_a", "kind_b"))
     return met.groupBy("key_a", "key_b").agg(best.alias("name")).select("key_a", "key_b", "name.edits", "name.kind_a", "name.kind_b")
 
@@ -93,7 +121,7 @@ def compared(links: DataFrame, left: DataFrame, right: DataFrame, levels: dict[s
 
 def link_points() -> Column:
     """Evidence of place plus that of the name: fewer edits and equal kinds are better."""
-    name = F.when(F.col("edits") == 0, 1.0).when(F.col("edits") == 1, 0.5).when(F.col("edits") == 2, 0.0).otherwise(-0.5)
+    name = 1.0 - 0.5 * F.least(F.col("edits"), F.lit(4))
     kind = F.when((F.col("kind_a") == F.col("kind_b")) & (F.col("kind_a") != ""), 0.5).otherwise(0.0)
     place = [F.coalesce(F.get(F.array(*map(F.lit, POINTS[c])), level), F.lit(0.0)) for c, level in agreements("a", "b").items()]
     return sum(place, name + kind)
