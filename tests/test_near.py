@@ -63,9 +63,39 @@ def test_points_in_regions(spark):
     assert got == {("in", "L"), ("in2", "L")}
 
 
+def test_crowded_regions_and_cells_change_nothing(spark):
+    ring = [(33.0, 127.0), (33.0, 127.02), (33.02, 127.01)]
+    regions = spark.createDataFrame([("T", ring), ("T", ring), ("U", [(y, x + 0.005) for y, x in ring])], "r string, ring array<struct<lat:double,lon:double>>")
+    df = spark.createDataFrame(cloud(250), POINT)
+    get = lambda **more: {(r.point_key, r.region_key) for r in points_in_regions(df, regions, point_key="k", region_key="r", **more).collect()}
+    whole = get()
+    assert whole == get(hot_cell=2) == get(cell_km=0.3) and len(whole) > 40
+
+
+def test_both_sides_of_a_crowded_cell_are_split(spark):
+    few, many = spark.createDataFrame([(f"a{i}", 35.0, 127.0 + i * 1e-6) for i in range(3)], POINT), spark.createDataFrame([(f"b{i:03d}", 35.0, 127.0 + i * 1e-6) for i in range(300)], POINT)
+    assert near_pairs(few, many, radius_km=0.5, left_key="k", right_key="k", hot_cell=20).count() == 900
+
+
 def test_nearest_equals_brute_force(spark):
     a, b = cloud(60, 2), [("q" + k, y, x) for k, y, x in cloud(40, 7)]
     got = {(r.point, r.place): r.facility for r in nearest(spark.createDataFrame(a, POINT), spark.createDataFrame(b, POINT), point_key="k", facility_key="k", k=2, start_km=0.2).collect()}
     for p in a:
         ranked = sorted((km(p, q), q[0]) for q in b)
         assert [got[p[0], 1], got[p[0], 2]] == [ranked[0][1], ranked[1][1]]
+
+
+def test_nearest_of_sparse_few_and_far_facilities(spark):
+    points = [("near", 33.0, 127.0), ("edge", 33.1, 127.0), ("far", 42.9, 131.9), ("lone", 36.0, 124.1)]
+    crowd = [(f"c{i:02d}", 33.0 + i * 0.001, 127.0) for i in range(40)] + [("north", 42.0, 131.0)]
+    df, fs = spark.createDataFrame(points, POINT), spark.createDataFrame(crowd, POINT)
+    for k in (1, 3, 41, 60):
+        got = {(r.point, r.place): (r.facility, round(r.km, 6)) for r in nearest(df, fs, point_key="k", facility_key="k", k=k, start_km=0.5).collect()}
+        assert len(got) == 4 * min(k, 41)
+        for p in points:
+            ranked = sorted((km(p, q), q[0]) for q in crowd)[:k]
+            assert [got[p[0], i + 1] for i in range(len(ranked))] == [(name, round(d, 6)) for d, name in ranked]
+    own = {(r.point, r.place): r.facility for r in nearest(df, point_key="k", k=2).collect()}
+    for p in points:
+        assert [own[p[0], 1], own[p[0], 2]] == [q for _, q in sorted((km(p, q), q[0]) for q in points if q != p)][:2]
+    assert nearest(df, fs.where("false"), point_key="k", facility_key="k").count() == 0 and nearest(df.where("false"), point_key="k").count() == 0

@@ -40,3 +40,13 @@ def band(value: Column, width: int, low: float, high: float, top: float) -> Colu
         .when(value >= top, F.lit(f"{int(top)}+"))
         .otherwise(F.concat(start.cast("string"), F.lit("-"), (start + (width - 1)).cast("string")))
     )
+
+
+def clamp(c: Column, low: float, high: float) -> Column:
+    """Within the bounds; null stays null."""
+    return F.when(c < low, low).when(c > high, high).otherwise(c)
+
+
+def uniform(key: Column) -> Column:
+    """A number from 0 to below 1 drawn from the key, the same in every run: the first 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -27,3 +27,14 @@ def largest_remainder(df: DataFrame, weight: str, total: str, key: str, least: i
     rows = df.withColumn("quota", quota).withColumn("whole", F.floor("quota")).withColumn("fraction", F.col("quota") - F.col("whole"))
     rows = rows.withColumn("left", spare - F.sum("whole").over(everything)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("fraction"), F.desc(key))))
     return rows.withColumn("units", (least + F.col("whole") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long")).drop("quota", "whole", "fraction", "left", "place")
+
+
+def observed_or_share(df: DataFrame, observed: str, total: str, weight: str) -> DataFrame:
+    """Adds ``amount``: what was observed, else the row's part of ``total`` by its weight among all rows, and ``basis``.
+
+    The weights are summed apart and joined as one row, so that no task holds all rows.
+    """
+    weights = df.agg(F.sum(weight).alias("__all"))
+    shared = F.col(total) * F.try_divide(F.col(weight).cast("double"), F.col("__all").cast("double"))
+    rows = df.join(F.broadcast(weights))  # one row
+    return rows.withColumn("amount", F.coalesce(F.col(observed), shared)).withColumn("basis", F.when(F.col(observed).isNull(), "proportional").otherwise("observed")).drop("__all")

@@ -1,8 +1,8 @@
-"""Means with confidence intervals, paired differences, and changes along a sequence."""
+"""Means with confidence intervals and paired differences."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.numbers import rounded
@@ -27,11 +27,3 @@ def paired(values: DataFrame, pair: str, variant: str, value: str, baseline: str
     """Estimates of each variant minus the baseline over the pairs both have."""
     base = values.where(F.col(variant) == baseline).select(pair, F.col(value).alias("base"))
     return values.where(F.col(variant) != baseline).join(base, pair).groupBy(variant).agg(*estimate(F.col(value) - F.col("base")))
-
-
-def changes(rows: DataFrame, entity: str, order: list[str], state: list[str]) -> DataFrame:
-    """The rows of each entity whose state differs from that of the row before; the first always."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    now = F.struct(*state)
-    marked = rows.withColumn("__first", F.row_number().over(w) == 1).withColumn("__same", now.eqNullSafe(F.lag(now).over(w)))
-    return marked.where(F.col("__first") | ~F.col("__same")).drop("__first", "__same")

@@ -49,3 +49,15 @@ def evolved(*generations: DataFrame, defaults: dict[str, object] | None = None)
     for name, value in (defaults or {}).items():
         whole = whole.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     return whole
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key, columns, basis``: the override's values where there is one, else the row's own.
+
+    ``basis`` is ``override``, ``own``, or ``unmatched`` for an override that fits no row.
+    Keys are distinct on both sides; null keys meet nothing.
+    """
+    a = rows.select(key, F.lit(True).alias("__row"), *[F.col(c).alias(f"__a_{c}") for c in columns])
+    b = overrides.select(key, F.lit(True).alias("__over"), *[F.col(c).alias(f"__b_{c}") for c in columns])
+    basis = F.when(F.col("__row").isNull(), "unmatched").when(F.col("__over").isNotNull(), "override").otherwise("own")
+    return a.join(b, key, "full").select(key, *[F.when(F.col("__over").isNotNull(), F.col(f"__b_{c}")).otherwise(F.col(f"__a_{c}")).alias(c) for c in columns], basis.alias("basis"))

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.geo import KM_PER_DEGREE, haversine_km, usable
+from wardline.operators.skew import split_join
 
 LAT_RANGE = (33.0, 43.0)
 LON_RANGE = (124.0, 132.0)
-#: Points in one cell beyond which the cell is split over several tasks.
+#: Points of either side in one cell beyond which the cell is split over several tasks.
 HOT_CELL = 2000
 
 
@@ -46,20 +47,6 @@ def _spread(points: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     return points.withColumn("move", F.explode(moves)).withColumn("cell_y", F.col("cell_y") + F.col("move.dy")).withColumn("cell_x", F.col("cell_x") + F.col("move.dx"))
 
 
-def _parts(count: Column, hot: int) -> Column:
-    return F.ceil(count / hot).cast("int")
-
-
-def _cell_join(left: DataFrame, right: DataFrame, hot: int) -> DataFrame:
-    """Join on the cell. The left points of a cell with more than ``hot`` of them are
-    dealt to several buckets and the right points copied to each of these."""
-    crowded = left.groupBy("cell_y", "cell_x").count().where(F.col("count") > hot).select("cell_y", "cell_x", _parts(F.col("count"), hot).alias("parts"))
-    one = F.coalesce(F.col("parts"), F.lit(1))
-    salted_left = left.join(crowded, ["cell_y", "cell_x"], "left").withColumn("salt", F.pmod(F.xxhash64("l_key", "l_lat"), one).cast("int")).drop("parts")
-    salted_right = right.join(crowded, ["cell_y", "cell_x"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
-    return salted_left.join(salted_right, ["cell_y", "cell_x", "salt"])
-
-
 def near_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -93,7 +80,7 @@ def near_pairs(
     else:
         points_r = _celled(_points(right, right_key, right_lat, right_lon, "r", lat_range, lon_range), "r", steps)
         offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    met = _cell_join(points_l, _spread(points_r, offsets), hot_cell)
+    met = split_join(points_l, _spread(points_r, offsets), ["cell_y", "cell_x"], hot_cell)
     close = met.withColumn("km", haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("km") <= radius_km)
     if own:
         same_cell = (F.col("move.dy") == 0) & (F.col("move.dx") == 0)
@@ -114,24 +101,29 @@ def points_in_regions(
     lon: str = "longitude",
     ring: str = "ring",
     cell_km: float = 5.0,
+    hot_cell: int = HOT_CELL,
     lat_range: tuple[float, float] = LAT_RANGE,
     lon_range: tuple[float, float] = LON_RANGE,
 ) -> DataFrame:
     """``point_key, region_key`` for each point inside a region.
 
     ``ring`` is an array of ``struct<lat, lon>`` corners, closed implicitly. A region is
-    copied to the cells of its bounding box, joined with the points of these cells and
-    tested by counting crossings of the ring. Regions with a null or shorter ring than
+    copied, without its ring, to the cells of its bounding box and joined with the points
+    of these cells; the ring is joined to the points met and its crossings are counted.
+    Crowded cells and regions are split over several tasks. Regions with a null or shorter ring than
     three corners contain nothing; points on the upper or right border are outside.
     """
     steps = _steps(cell_km, lat_range)
     pts = _celled(_points(points, point_key, lat, lon, "p", lat_range, lon_range), "p", steps)
     shapes = regions.select(F.col(region_key).alias("region_key"), F.col(ring).alias("ring")).where(F.col("region_key").isNotNull() & (F.size("ring") >= 3)).distinct()
     bound = lambda agg, field, step: F.floor(agg(F.transform("ring", lambda c: c[field])) / step)
-    cells = shapes.withColumn("cell_y", F.explode(F.sequence(bound(F.array_min, "lat", steps[0]), bound(F.array_max, "lat", steps[0])))).withColumn(
-        "cell_x", F.explode(F.sequence(bound(F.array_min, "lon", steps[1]), bound(F.array_max, "lon", steps[1])))
+    boxes = shapes.select(
+        "region_key",
+        *[bound(agg, field, step).alias(name) for name, agg, field, step in (("y0", F.array_min, "lat", steps[0]), ("y1", F.array_max, "lat", steps[0]), ("x0", F.array_min, "lon", steps[1]), ("x1", F.array_max, "lon", steps[1]))],
     )
-    met = pts.join(cells, ["cell_y", "cell_x"])
+    cells = boxes.withColumn("cell_y", F.explode(F.sequence("y0", "y1"))).withColumn("cell_x", F.explode(F.sequence("x0", "x1"))).select("region_key", "cell_y", "cell_x").distinct()
+    met = split_join(pts, cells, ["cell_y", "cell_x"], hot_cell).select("p_key", "p_lat", "p_lon", "region_key")
+    met = split_join(met, shapes, ["region_key"], 10 * hot_cell)
     following = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
     crossed = F.zip_with(
         "ring",

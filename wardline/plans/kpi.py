@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.numbers import hour_of, rounded, survival
-from wardline.operators.estimates import changes, estimate, paired
+from wardline.operators.estimates import estimate, paired
+from wardline.operators.sequences import changes, in_pieces, running, with_previous
 from wardline.sources.tables import table
 
-# Golden minutes and decay per minute of each severity class.
+#: Golden minutes and decay per minute of each severity class, as parameters of the example curves.
 PROFILES = {"critical": (5.0, 0.08), "severe": (15.0, 0.03), "moderate": (30.0, 0.01), "minor": (120.0, 0.001)}
 
 
@@ -76,9 +77,11 @@ def ranked_alternatives(spark: SparkSession, d: str) -> DataFrame:
 def baseline_rank(spark: SparkSession, d: str) -> DataFrame:
     """Where the first year's best part stands in every other year, and whether it is still the best."""
     s = _scores(spark, d)
-    ranked = s.withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("score"), "part")).cast("long"))
-    first = s.groupBy("year").agg(F.max(F.struct("score", (-F.col("part")).alias("k"))).alias("m")).groupBy().agg(F.min_by("m", "year").alias("m"), F.min("year").alias("base_year")).select((-F.col("m.k")).alias("part"), "base_year")
-    return ranked.join(F.broadcast(first), "part").where(F.col("year") != F.col("base_year")).select("part", "year", "place", (F.col("place") == 1).alias("still_best"))  # first is one row
+    first = s.groupBy("year").agg(F.max(F.struct("score", (-F.col("part")).alias("k"))).alias("m")).groupBy().agg(F.min_by("m", "year").alias("m"), F.min("year").alias("base_year")).select((-F.col("m.k")).alias("base"), "base_year")
+    own = s.join(F.broadcast(first), F.col("part") == F.col("base")).where(F.col("year") != F.col("base_year")).select("year", "base", F.col("score").alias("own"))  # first is one row
+    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("part") < F.col("base")))
+    places = s.join(F.broadcast(own), "year").groupBy("base", "year").agg((F.count_if(ahead) + 1).alias("place"))  # own is one row a year
+    return places.select(F.col("base").alias("part"), "year", "place", (F.col("place") == 1).alias("still_best"))
 
 
 def state_deltas(spark: SparkSession, d: str) -> DataFrame:
@@ -87,18 +90,21 @@ def state_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def new_legs(spark: SparkSession, d: str) -> DataFrame:
-    """Legs of equal state: number, events and duration per unit."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("new", F.when(F.col("event_type").eqNullSafe(F.lag("event_type").over(w)), 0).otherwise(1)).withColumn("leg", F.sum("new").over(w))
-    legs = e.groupBy("user_id", "leg", "event_type").agg(F.count("*").alias("n"))
+    """Legs of equal state: their number and the most events of one, per unit."""
+    order = ["ts", "event_id"]
+    pieced = in_pieces(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", order)
+    told = with_previous(pieced, "user_id", order, ["event_type"])
+    begun = told.withColumn("new", F.when(F.col("__before").isNotNull() & F.struct("event_type").eqNullSafe(F.col("__before")), 0).otherwise(1)).drop("__before")
+    legs = running(begun, "user_id", order, {"leg": F.col("new")}).groupBy("user_id", "leg").agg(F.count("*").alias("n"))
     return legs.groupBy("user_id").agg(F.max("leg").cast("long").alias("legs"), F.max("n").alias("longest"))
 
 
 def running_mean(spark: SparkSession, d: str) -> DataFrame:
-    """A unit's mean value up to each event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = cents(F.col("value"))
-    return table(spark, d, "events").select("event_id", rounded(F.sum(c).over(w) / F.count(c).over(w) / 100.0, 4).alias("mean"))
+    """A unit's mean value up to each event; null before its first value."""
+    order, c = ["ts", "event_id"], cents(F.col("value"))
+    pieced = in_pieces(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", order)
+    sums = running(pieced, "user_id", order, {"s": c, "n": c.isNotNull().cast("long")})
+    return sums.select("event_id", F.when(F.col("n") > 0, rounded(F.col("s") / F.col("n") / 100.0, 4)).alias("mean"))
 
 
 def schedule_boundaries(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.geo import EARTH_KM
-from wardline.operators.near import near_pairs
+from wardline.functions.geo import usable
+from wardline.operators.near import near_pairs, points_in_regions
 from wardline.operators.orphans import orphan_references
 from wardline.operators.rejects import DEMAND_FIELDS, Field, parse_records
 from wardline.session import utc_micros
@@ -31,6 +32,18 @@ def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy(F.col("left_key").alias("candidate_id")).agg(F.count("*").alias("hospitals"), F.floor(F.min("km") * 1000 + 0.5).cast("long").alias("nearest_m"))
 
 
+def p1_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Hospitals inside the regions of towns: of each town's envelope of sites, the hexagon without the corners."""
+    at = table(spark, d, "candidate_sites").where(usable(F.col("latitude"), F.col("longitude")) & F.col("municipality_code").isNotNull())
+    box = at.groupBy("municipality_code").agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e"))
+    third = lambda i: F.col("w") + (F.col("e") - F.col("w")) * (i / 3)
+    middle = (F.col("s") + F.col("n")) / 2
+    corners = [("s", third(1)), ("s", third(2)), (middle, F.col("e")), ("n", third(2)), ("n", third(1)), (middle, F.col("w"))]
+    ring = F.array(*[F.struct((F.col(y) if isinstance(y, str) else y).alias("lat"), x.alias("lon")) for y, x in corners])
+    inside = points_in_regions(table(spark, d, "existing_hospitals"), box.select("municipality_code", ring.alias("ring")), point_key="node_id", region_key="municipality_code")
+    return inside.select(F.col("point_key").alias("node_id"), F.col("region_key").alias("municipality_code"))
+
+
 def node_table(spark: SparkSession, d: str) -> DataFrame:
     """``id, staged, retired`` of all rows of the four node tables."""
     parts = []
@@ -91,7 +104,7 @@ def p4_population(spark: SparkSession, d: str) -> DataFrame:
     return staged.where(F.col("reject_reason").isNull()).select("administrative_code", "municipality_code", F.col("p_population").alias("population"), "households").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_population": p4_population}
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p1_regions": p1_regions, "p3_found": p3_found, "p3_by_month": p3_by_month, "p4_found": p4_found, "p4_loaded": p4_loaded, "p4_population": p4_population}
 
 _OK = "latitude between 33 and 43 and longitude between 124 and 132"
 _KM = f"{2 * EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
@@ -141,6 +154,12 @@ union select 'site_hospital', least(a.k, b.k), greatest(a.k, b.k) from s a join
 with {_NEAR_SITE_HOSPITAL}
 select a.k candidate_id, count(distinct b.k) hospitals, cast(floor(min({_KM}) * 1000 + 0.5) as bigint) nearest_m from s a join h b
   on b.latitude between a.latitude - 0.012 and a.latitude + 0.012 and b.longitude between a.longitude - 0.02 and a.longitude + 0.02 where {_KM} <= 1.0 group by 1""",
+    "p1_regions": f"""with box as (select municipality_code, min(latitude) s, max(latitude) n, min(longitude) w, max(longitude) e from candidate_sites where {_OK} and municipality_code is not null group by 1),
+  c as (select municipality_code, unnest([1, 2, 3, 4, 5, 6]) i, unnest([s, s, (s + n) / 2, n, n, (s + n) / 2]) y, unnest([w + (e - w) * (1 / 3::double), w + (e - w) * (2 / 3::double), e, w + (e - w) * (2 / 3::double), w + (e - w) * (1 / 3::double), w]) x from box),
+  sides as (select a.municipality_code, a.y ay, a.x ax, b.y by_, b.x bx from c a join c b on a.municipality_code = b.municipality_code and b.i = a.i % 6 + 1),
+  h as (select distinct node_id, latitude, longitude from existing_hospitals where {_OK})
+select distinct node_id, municipality_code from (select node_id, municipality_code, latitude, longitude, count(*) filter ((ay > latitude) <> (by_ > latitude) and longitude < (bx - ax) * (latitude - ay) / (by_ - ay) + ax) k
+  from h, sides group by 1, 2, 3, 4) where k % 2 = 1""",
     "p3_found": f"with {_NODES} select distinct route_id, ref_field, reason from orphans where reason is not null",
     "p3_by_month": f"""with {_NODES} select case when split_part(ref_id, '::', 2) in ('demand', 'candidate', 'hospital', 'ambulance_base') then split_part(ref_id, '::', 2) else 'other' end node_kind,
   strftime(ref_at, '%Y-%m') "month", ref_field, reason, count(*) orphans from (select distinct * from orphans) where reason is not null group by all""",

@@ -31,7 +31,7 @@ def known_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_measurement(spark: SparkSession, d: str) -> DataFrame:
     """Of each pair the row collected last, per town: pairs, mean minutes, and routes reused."""
-    r = table(spark, d, "road_times").where("origin_id is not null and destination_id is not null and collected_at is not null").distinct()
+    r = table(spark, d, "road_times").where("origin_id is not null and destination_id is not null and collected_at is not null")
     at = F.col("collected_at").try_cast("timestamp")
     best = r.groupBy("origin_id", "destination_id").agg(F.max(F.struct(at.alias("at"), "route_id", "municipality_code", "duration_minutes", "reused_from")).alias("m"))
     return best.groupBy("m.municipality_code").agg(F.count("*").alias("pairs"), rounded(F.avg("m.duration_minutes"), 4).alias("mean_minutes"), F.count("m.reused_from").alias("reused"))
@@ -70,6 +70,14 @@ def base_times(spark: SparkSession, d: str) -> DataFrame:
     return reach(known_edges(spark, d), bases).select("node", rounded(F.col("minutes"), 4).alias("minutes"))
 
 
+def coverage_times(spark: SparkSession, d: str) -> DataFrame:
+    """Per town the demand points that a base can reach over any number of legs, and the sum of people / (1 + least minutes)."""
+    people = demand_points(spark, d).select("municipality_code", F.concat_ws("::", "municipality_code", F.lit("demand"), "administrative_code").alias("node"), "people")
+    bases = table(spark, d, "ambulance_bases").select(F.col("node_id").alias("node"))
+    times = reach(known_edges(spark, d), bases)
+    return people.join(times, "node").groupBy("municipality_code").agg(F.count("*").alias("points"), F.floor(F.sum(F.col("people") / (1 + F.col("minutes"))) + 0.5).cast("long").alias("score"))
+
+
 def coverage_score(spark: SparkSession, d: str) -> DataFrame:
     """Sum of people / (1 + minutes) over the demand points with a way from a base."""
     people = demand_points(spark, d).select(F.concat_ws("::", "municipality_code", F.lit("demand"), "administrative_code").alias("dst"), "people")
@@ -77,6 +85,17 @@ def coverage_score(spark: SparkSession, d: str) -> DataFrame:
     return ways.groupBy(F.col("src").alias("base")).agg(F.count("*").alias("points"), F.floor(F.sum(F.col("people") / (1 + F.col("minutes"))) + 0.5).cast("long").alias("score"))
 
 
+def lacking_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Demand points whose ways to the hospitals of their town are not all measured: hospitals required, measured and lacking."""
+    nodes = node_table(spark, d).select("id").where("id is not null").distinct()
+    points = nodes.where(part("id", 1) == "demand").select(part("id", 0).alias("municipality_code"), F.col("id").alias("node"))
+    required = nodes.where(part("id", 1) == "hospital").groupBy(part("id", 0).alias("municipality_code")).agg(F.count("*").alias("required"))
+    inside = known_edges(spark, d).where((part("dst", 1) == "hospital") & (part("src", 1) == "demand") & (part("src", 0) == part("dst", 0)))
+    measured = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("measured"))
+    both = points.join(required, "municipality_code").join(measured, "node", "left").na.fill({"measured": 0})
+    return both.where("measured < required").select("municipality_code", "node", "required", "measured", (F.col("required") - F.col("measured")).alias("lacking"))
+
+
 def hourly_travel(spark: SparkSession, d: str) -> DataFrame:
     """Mean minutes per town and hour of collection against the town's mean over the day."""
     r = table(spark, d, "road_times").where("duration_minutes >= 0 and collected_at is not null")
@@ -166,7 +185,7 @@ def evolving_schema_scan(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        known_edges, latest_measurement, matrix_coverage, missing_pairs, base_reach, base_times, coverage_score, hourly_travel, twin_route_reuse, tiered_assignment,
+        known_edges, latest_measurement, matrix_coverage, missing_pairs, lacking_pairs, base_reach, base_times, coverage_times, coverage_score, hourly_travel, twin_route_reuse, tiered_assignment,
         mandatory_optional_join, semi_filtered_capacity, registry_mismatch, violations_report, evolving_schema_scan,
     )
 }
@@ -176,7 +195,16 @@ _IDS = """ids as (select municipality_code || '::demand::' || administrative_cod
 _EDGES = f"""{_IDS}, edges as (select origin_id src, destination_id dst, min(duration_minutes) m from road_times
   where duration_minutes >= 0 and origin_id <> destination_id and origin_id in (select id from ids where id is not null) and destination_id in (select id from ids where id is not null) group by 1, 2)"""
 _OFF = "not coalesce(latitude between 33 and 43 and longitude between 124 and 132, false)"
+_TIMES = f"""{_EDGES}, times(node, m) using key (node) as (select distinct node_id, 0.0::double from ambulance_bases where node_id is not null
+  union select e.dst, min(t.m + e.m)::double from times t join edges e on t.node = e.src left join recurring.times r on r.node = e.dst where r.node is null or t.m + e.m < r.m group by e.dst)"""
 ORACLES = {
+    "base_times": f'with recursive {_TIMES} select node, floor(m * 1e4 + 0.5) / 1e4 "minutes" from times',
+    "coverage_times": f"""with recursive {DEMAND}, {_TIMES} select municipality_code, count(*) points, cast(floor(sum(people / (1 + m)) + 0.5) as bigint) score from times
+  join demand on node = municipality_code || '::demand::' || administrative_code group by 1""",
+    "lacking_pairs": f"""with {_EDGES}, h as (select split_part(id, '::', 1) c, count(*) required from ids where split_part(id, '::', 2) = 'hospital' group by 1),
+  m as (select src, count(*) measured from edges where split_part(dst, '::', 2) = 'hospital' and split_part(src, '::', 1) = split_part(dst, '::', 1) group by 1)
+select c municipality_code, id node, required, coalesce(measured, 0) measured, required - coalesce(measured, 0) lacking from ids join h on split_part(id, '::', 1) = c left join m on src = id
+where split_part(id, '::', 2) = 'demand' and coalesce(measured, 0) < required""",
     "known_edges": f'with {_EDGES} select src, dst, m "minutes" from edges',
     "latest_measurement": """with r as (select distinct *, collected_at::timestamptz at_ from road_times where origin_id is not null and destination_id is not null and collected_at is not null),
   b as (select *, row_number() over (partition by origin_id, destination_id order by at_ desc, route_id desc) k from r)

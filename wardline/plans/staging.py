@@ -42,12 +42,12 @@ def provenance_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Per table of nodes and column: rows, missing and blank values."""
+    """Per table of nodes and column, of any type: rows, missing and blank values."""
     out = None
     for name in ("demand_population", "candidate_sites", "existing_hospitals", "ambulance_bases"):
         t = table(spark, d, name)
-        texts = [c for c, kind in t.dtypes if kind == "string"]
-        tall = t.select(*texts).unpivot([], texts, "field", "v").groupBy(F.lit(name).alias("table_name"), "field").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_if(F.trim("v") == "").alias("blank"))
+        counts = [F.struct(F.lit(c).alias("field"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_if(F.trim(F.col(c).cast("string")) == "").alias("blank")) for c in t.columns]
+        tall = t.agg(F.count("*").alias("n"), F.array(*counts).alias("counts")).select(F.lit(name).alias("table_name"), "n", F.explode("counts").alias("c")).select("table_name", "c.field", "n", "c.missing", "c.blank")
         out = tall if out is None else out.unionByName(tall)
     return out
 
@@ -60,10 +60,14 @@ def hour_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unused_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that no route leaves, per town and kind."""
-    used = table(spark, d, "road_times").select(F.col("origin_id").alias("id")).distinct()
+    """Per town and kind of node, and month of collection (UTC): how many of its nodes no route of that month leaves."""
+    month = F.date_format(F.col("collected_at").try_cast("timestamp"), "yyyy-MM")
+    used = table(spark, d, "road_times").select(F.col("origin_id").alias("id"), month.alias("month")).where("id is not null and month is not null").distinct()
     nodes = node_table(spark, d).select("id").where("id is not null").distinct()
-    return nodes.join(used, "id", "left_anti").groupBy(part("id", 0).alias("municipality_code"), part("id", 1).alias("kind")).agg(F.count("*").alias("n"))
+    per = lambda rows, *more: rows.groupBy(part("id", 0).alias("municipality_code"), part("id", 1).alias("kind"), *more)
+    known = per(nodes).agg(F.count("*").alias("nodes"))
+    months = per(used.join(nodes, "id", "left_semi"), "month").agg(F.count("*").alias("used"))
+    return known.join(months, ["municipality_code", "kind"]).select("municipality_code", "kind", "month", "nodes", (F.col("nodes") - F.col("used")).alias("unused"))
 
 
 def stated_match_review(spark: SparkSession, d: str) -> DataFrame:
@@ -88,11 +92,11 @@ QUERIES = {f.__name__: f for f in (dictionary_codes, canvas_positions, provenanc
 
 _NODES = """(select municipality_code || '::demand::' || administrative_code id from demand_population union select municipality_code || '::candidate::' || candidate_id from candidate_sites
   union select node_id from existing_hospitals union select node_id from ambulance_bases)"""
-_TEXTS = {
-    "demand_population": "administrative_code administrative_name municipality_code population coordinate_source matched_address kakao_place_id geocoding_status demand_rate_status coordinate_reference_url coordinate_basis",
-    "candidate_sites": "candidate_id candidate_name municipality_code road_address candidate_source land_feasibility_status coordinate_source matched_address kakao_place_id geocoding_status routing_status administrative_code",
-    "existing_hospitals": "node_id hospital_name emergency_category phone road_address lot_address postal_code coordinate_source matched_address municipality_code routing_status hira_hospital_name hira_encrypted_care_symbol hira_institution_type capacity_snapshot_period registered_emergency_institution registered_adult_icu capacity_match_method capacity_match_review_required capacity_source capacity_semantics egen_institution_code egen_overall_grade egen_mandatory_area_result egen_match_review_required egen_evaluation_source",
-    "ambulance_bases": "node_id source_province fire_station safety_center regional_unit base_name address coordinate_source matched_address kakao_place_id municipality_assignment geocoding_status routing_status",
+_COLUMNS = {
+    "demand_population": "administrative_code administrative_name municipality_code population coordinate_source matched_address kakao_place_id geocoding_status demand_rate_status coordinate_reference_url coordinate_basis households latitude longitude staged_at retired_at",
+    "candidate_sites": "candidate_id candidate_name municipality_code road_address candidate_source land_feasibility_status coordinate_source matched_address kakao_place_id geocoding_status routing_status administrative_code latitude longitude cell_population_estimate nearest_facility_km grid_row grid_col staged_at retired_at",
+    "existing_hospitals": "node_id hospital_name emergency_category phone road_address lot_address postal_code coordinate_source matched_address municipality_code routing_status hira_hospital_name hira_encrypted_care_symbol hira_institution_type capacity_snapshot_period registered_emergency_institution registered_adult_icu capacity_match_method capacity_match_review_required capacity_source capacity_semantics egen_institution_code egen_overall_grade egen_mandatory_area_result egen_match_review_required egen_evaluation_source latitude longitude emergency_room_beds critical_care_beds inpatient_beds ct_units mri_units capacity_match_score egen_evaluation_year staged_at retired_at",
+    "ambulance_bases": "node_id source_province fire_station safety_center regional_unit base_name address coordinate_source matched_address kakao_place_id municipality_assignment geocoding_status routing_status ambulance_count latitude longitude staged_at retired_at",
 }
 ORACLES = {
     "dictionary_codes": "select user_id, code, n from (select event_type, user_id, count(*) n from events group by 1, 2) join (select event_type, row_number() over (order by event_type) - 1 code from (select distinct event_type from events)) using (event_type)",
@@ -101,9 +105,11 @@ select candidate_id, floor(100.0::double * (x - w) / (e - w) * 1e4 + 0.5) / 1e4
     "provenance_lists": """select municipality_code, coalesce(array_to_string(list_sort(list(distinct routing_provider) filter (routing_provider is not null)), ','), '') providers, coalesce(array_to_string(list_sort(list(distinct routing_profile) filter (routing_profile is not null)), ','), '') profiles,
   coalesce(array_to_string(list_sort(list(distinct pair_set) filter (pair_set is not null)), ','), '') pair_sets, strftime(min(collected_at::timestamptz at time zone 'UTC'), '%Y-%m-%d') first_day, strftime(max(collected_at::timestamptz at time zone 'UTC'), '%Y-%m-%d') last_day,
   count(distinct routing_provider) = 1 single_provider from road_times group by 1""",
-    "missing_counts": " union all ".join(f"select '{t}' table_name, '{c}' field, count(*) n, count(*) filter ({c} is null) missing, count(*) filter (trim({c}) = '') blank from {t}" for t, names in _TEXTS.items() for c in names.split()),
+    "missing_counts": " union all ".join(f"select '{t}' table_name, '{c}' field, count(*) n, count(*) filter ({c} is null) missing, count(*) filter (trim(cast({c} as varchar)) = '') blank from {t}" for t, names in _COLUMNS.items() for c in names.split()),
     "hour_completeness": """with h as (select municipality_code, list(distinct cast(hour(collected_at::timestamptz at time zone 'UTC') as integer)) hs from road_times where collected_at is not null group by 1)
 select municipality_code, cast(len(hs) as bigint) present, array_to_string(list_filter(generate_series(0, 23), lambda x: not list_contains(hs, cast(x as integer))), ',') lacking, len(hs) = 24 complete from h""",
-    "unused_nodes": f"""select split_part(id, '::', 1) municipality_code, split_part(id, '::', 2) kind, count(*) n from {_NODES} where id is not null
-  and id not in (select origin_id from road_times where origin_id is not null) group by 1, 2""",
+    "unused_nodes": f"""with n as (select split_part(id, '::', 1) municipality_code, split_part(id, '::', 2) kind, count(*) nodes from {_NODES} where id is not null group by 1, 2),
+  u as (select split_part(id, '::', 1) municipality_code, split_part(id, '::', 2) kind, m, count(*) used from (select distinct origin_id id, strftime(collected_at::timestamptz at time zone 'UTC', '%Y-%m') m from road_times where collected_at is not null)
+    where id in (select id from {_NODES} where id is not null) group by 1, 2, 3)
+select municipality_code, kind, m "month", nodes, nodes - used unused from n join u using (municipality_code, kind)""",
 }

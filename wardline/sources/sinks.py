@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import cut
+
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str], files: int | None = None) -> None:
     """The fields in fixed order, others left out; nested ones as JSON text. Replaces the folder at once."""
@@ -42,3 +45,30 @@ def collect_missing(required: DataFrame, measured: DataFrame, keys: Sequence[str
                 yield call(frame)
 
     return todo.mapInPandas(run, schema)
+
+
+def split_rejects(df: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows without a problem, the others with it as ``problem``)."""
+    told = df.withColumn("problem", problem)
+    return told.where(F.col("problem").isNull()).drop("problem"), told.where(F.col("problem").isNotNull())
+
+
+def append_rejects(rejects: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Appends rejected rows to a table of dead letters; those whose keys it already holds are left out."""
+    spark = rejects.sparkSession
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException:  # the first run
+        known = None
+    fresh = rejects if known is None else rejects.join(known.select(*keys).distinct(), list(keys), "left_anti")
+    cut(fresh.dropDuplicates(list(keys))).write.mode("append").parquet(path)
+
+
+def write_checked(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table, reads it again and raises unless rows and content are the same; gives what was read."""
+    df.write.mode("overwrite").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    mark = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    if mark(df) != mark(back):
+        raise ValueError(f"{path}: what was written differs from what is read")
+    return back
