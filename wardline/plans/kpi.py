@@ -132,7 +132,7 @@ def treatment_success(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k_subsets(spark: SparkSession, d: str) -> DataFrame:
-    """Of each town's five best sites by people, the pairs of sites, ranked by the people of both."""
+    """The shortlist of pairs among each town's five best sites by people, ranked within it by the people of both."""
     s = table(spark, d, "candidate_sites").groupBy("candidate_id").agg(F.min("municipality_code").alias("town"), F.max("cell_population_estimate").alias("people"))
     top = s.withColumn("n", F.row_number().over(Window.partitionBy("town").orderBy(F.desc_nulls_last("people"), "candidate_id"))).where("n <= 5 and people is not null")
     b = top.select("town", F.col("candidate_id").alias("second"), F.col("people").alias("people_b"))

@@ -75,7 +75,7 @@ def code_label_split(spark: SparkSession, d: str) -> DataFrame:
     """The parts of an administrative name, its level, and the code's prefix."""
     p = demand_points(spark, d)
     parts = F.split(F.trim("administrative_name"), r"\s+")
-    return p.select("administrative_code", F.substring("administrative_code", 1, 5).alias("prefix"), F.size(parts).cast("long").alias("level"), F.get(parts, F.lit(0)).alias("province"), town_stem(F.get(parts, F.lit(1))).alias("town"), F.array_join(F.slice(parts, 3, 9), " ").alias("district"), F.endswith("administrative_code", F.lit("00000")).alias("subtotal"))
+    return p.select("administrative_code", F.substring("administrative_code", 1, 5).alias("prefix"), F.size(parts).cast("long").alias("level"), F.get(parts, F.lit(0)).alias("province"), town_stem(F.get(parts, F.lit(1))).alias("town"), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), " ").alias("district"), F.endswith("administrative_code", F.lit("00000")).alias("subtotal"))
 
 
 def first_nonempty_fallback(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from wardline.functions.numbers import count_of, rounded
 from wardline.operators.checks import Rule, duplicates, violations
 from wardline.operators.merging import evolved, last_wins, registry_differences, tiers
 from wardline.operators.reach import best_edges, reach
+from wardline.operators.skew import split_join
 from wardline.plans.prep import node_table
 from wardline.plans.rates import DEMAND, demand_points
 from wardline.sources.tables import table
@@ -106,12 +107,13 @@ def hourly_travel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def twin_route_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Routes that a site without any route from a base can take over from the site at its place."""
-    sites = table(spark, d, "candidate_sites").where(usable(F.col("latitude"), F.col("longitude"))).select(F.concat_ws("::", "municipality_code", F.lit("candidate"), "candidate_id").alias("node"), F.format_string("%.3f,%.3f", "longitude", "latitude").alias("place")).distinct()
+    """Routes from bases that a site lacks and can take over from a site at its place (to six decimals): the quickest, ties to the smaller twin."""
+    sites = table(spark, d, "candidate_sites").where(usable(F.col("latitude"), F.col("longitude"))).select(F.concat_ws("::", "municipality_code", F.lit("candidate"), "candidate_id").alias("node"), F.format_string("%.6f,%.6f", "longitude", "latitude").alias("place")).distinct()
     ways = known_edges(spark, d).where(part("src", 1) == "ambulance_base")
-    unreached = sites.join(ways, sites.node == ways.dst, "left_anti")
-    twins = unreached.join(sites.select(F.col("node").alias("twin"), "place"), "place").where(F.col("node") != F.col("twin"))
-    return twins.join(ways, twins.twin == ways.dst).groupBy("node", "src").agg(F.min(F.struct("minutes", "twin")).alias("m")).select(F.col("src").alias("origin_id"), F.col("node").alias("destination_id"), F.col("m.twin").alias("reused_from"), rounded(F.col("m.minutes"), 4).alias("minutes"))
+    best = ways.join(sites, ways.dst == sites.node).groupBy("place", "src").agg(F.min(F.struct("minutes", "node")).alias("m"))
+    met = split_join(sites, best, ["place"]).where(F.col("node") != F.col("m.node"))
+    fresh = met.join(ways.select("src", F.col("dst").alias("node")), ["src", "node"], "left_anti")
+    return fresh.select(F.col("src").alias("origin_id"), F.col("node").alias("destination_id"), F.col("m.node").alias("reused_from"), rounded(F.col("m.minutes"), 4).alias("minutes"))
 
 
 def tiered_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -226,10 +228,9 @@ join demand on dst = municipality_code || '::demand::' || administrative_code wh
     "hourly_travel": """with p as (select municipality_code, cast(hour(collected_at::timestamptz at time zone 'UTC') as bigint) "hour", count(*) n, sum(cast(floor(duration_minutes * 100 + 0.5) as bigint)) s
   from road_times where duration_minutes >= 0 and collected_at is not null group by 1, 2)
 select municipality_code, "hour", n, floor(s / n / 100.0::double * 1e4 + 0.5) / 1e4 "minutes", floor((s / n) / (sum(s) over (partition by municipality_code) / sum(n) over (partition by municipality_code)) * 1e4 + 0.5) / 1e4 multiplier from p""",
-    "twin_route_reuse": f"""with {_EDGES}, s as (select distinct municipality_code || '::candidate::' || candidate_id node, printf('%.3f,%.3f', longitude, latitude) place from candidate_sites where latitude between 33 and 43 and longitude between 124 and 132),
-  w as (select * from edges where split_part(src, '::', 2) = 'ambulance_base'), u as (select * from s where node not in (select dst from w)),
-  t as (select src, u.node, t.node twin, m, row_number() over (partition by u.node, src order by m, t.node) k from u join s t on u.place = t.place and u.node <> t.node join w on w.dst = t.node)
-select src origin_id, node destination_id, twin reused_from, floor(m * 1e4 + 0.5) / 1e4 "minutes" from t where k = 1""",
+    "twin_route_reuse": f"""with {_EDGES}, s as (select distinct municipality_code || '::candidate::' || candidate_id node, printf('%.6f,%.6f', longitude, latitude) place from candidate_sites where latitude between 33 and 43 and longitude between 124 and 132),
+  w as (select * from edges where split_part(src, '::', 2) = 'ambulance_base'), b as (select place, src, arg_min(node, (m, node)) twin, min(m) m from w join s on dst = node group by 1, 2)
+select src origin_id, node destination_id, twin reused_from, floor(m * 1e4 + 0.5) / 1e4 "minutes" from s join b using (place) where node <> twin and not exists (select 1 from w where w.src = b.src and w.dst = s.node)""",
     "tiered_assignment": r"""with b as (select * from (select *, row_number() over (partition by node_id order by staged_at desc nulls last) k from ambulance_bases) where k = 1),
   t as (select distinct municipality_name n, municipality_code c from municipality_summary), a as (select b.*, t.c c1 from b left join t on regexp_split_to_array(trim(address), '\s+')[2] = t.n),
   s as (select fire_station, min(c1) c2 from a where c1 is not null group by 1 having count(distinct c1) = 1)

@@ -9,6 +9,7 @@ from wardline.functions.geo import usable
 from wardline.functions.labels import first_text
 from wardline.functions.numbers import rounded
 from wardline.functions.similarity import address_similarity, name_similarity, normalized
+from wardline.operators.skew import split_join
 from wardline.plans.prep import node_table
 from wardline.plans.routes import part
 from wardline.sources.tables import table
@@ -83,7 +84,7 @@ def phone_match_scores(spark: SparkSession, d: str) -> DataFrame:
     towns = table(spark, d, "municipality_summary").select("municipality_code", "municipality_name").distinct()
     h = table(spark, d, "existing_hospitals").join(towns, "municipality_code").select("node_id", "municipality_name", "hospital_name", first_text(F.col("road_address"), F.col("lot_address")).alias("place"), digits(F.col("phone")).alias("tel")).where("length(tel) = 7").distinct()
     r = table(spark, d, "hira_institutions").select("care_symbol", "municipality_name", "hira_hospital_name", "address", digits(F.col("phone")).alias("tel")).where("length(tel) = 7").distinct()
-    met = h.join(r, ["municipality_name", "tel"])
+    met = split_join(h, r, ["municipality_name", "tel"])  # a number that stands for none may be in all rows
     score = NAME_WEIGHT * name_similarity(F.col("hospital_name"), F.col("hira_hospital_name")) + ADDRESS_WEIGHT * address_similarity(F.col("place"), F.col("address"))
     return met.withColumn("score", score).groupBy("node_id").agg(F.max(F.struct("score", "care_symbol")).alias("m")).select("node_id", F.col("m.care_symbol").alias("care_symbol"), rounded(F.col("m.score"), 4).alias("score"))
 

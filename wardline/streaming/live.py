@@ -18,7 +18,7 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     """The files of a table (one file, or a folder of files) as a stream."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*")  # the pattern also takes a single file
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path[:-1] + "[t]")  # a pattern also takes a single file
 
 
 def windowed(stream: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -32,7 +32,10 @@ def state_changes(stream: DataFrame, unit: str, at: str, event: str, state: str)
     """``unit, event, state`` of events at which a unit's state differs from the last one known.
 
     The last state of each unit is kept from batch to batch; within a batch events are
-    ordered by time and event id, events of later batches count as later.
+    ordered by time and event id, events of later batches count as later. So the result
+    of a log whose files are out of order depends on how many files a batch takes. A
+    unit's events of one batch are sorted in one task's memory: ``files_per_trigger``
+    bounds them, however many a unit has in all.
     """
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
