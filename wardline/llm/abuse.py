@@ -20,12 +20,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most labelled documents that a fit takes; of more, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
+#: Most characters of their texts together; the next document in that order and all after it are left out.
+MAX_CHARACTERS = 50_000_000
 #: Hash space of the features.
 FEATURES = 1 << 18
 #: Grades: 0 nobody flagged it, 1 reviewers disagree, 2 one reviewer flagged it, 3 several did and nobody objected.
@@ -252,13 +254,18 @@ def feature_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int
     return counts, int(sums.n[sums.feature < 0].sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> SeverityModel:
-    """A model from the labelled documents, at most ``max_labelled`` of them, and the feature counts of all documents.
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_characters: int = MAX_CHARACTERS) -> SeverityModel:
+    """A model from the labelled documents, at most ``max_labelled`` and ``max_characters`` of them, and the feature counts of all documents.
 
-    Without any usable label all documents get severity 0.
+    Both bound what reaches the driver; whole documents are taken, in the order of a
+    hash of their ids. Without any usable label all documents get severity 0.
     """
     sample = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = known.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("upto", F.sum("n").over(upto))  # at most max_labelled rows
+    taken = sizes.where(F.col("upto") <= max_characters).select("doc_id")
+    known = known.join(F.broadcast(taken), "doc_id", "left_semi").toPandas().sort_values("doc_id")
     if known.empty:
         return SeverityModel(np.zeros(FEATURES, np.float32), np.full(GRADES - 1, 30.0))
     counts, documents = feature_counts(docs)

@@ -105,6 +105,8 @@ class PrefixEncoder:
                 last[at], start[at] = token, before
         ids, at = [], n
         while at > 0:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary has no tokens for {text!r}")
             ids.append(last[at])
             at = start[at]
         return tuple(reversed(ids))
