@@ -36,6 +36,9 @@ class Weights:
     prior: float
     levels: dict[str, tuple[float, ...]]
 
+    def log_odds(self) -> Column:
+        return F.lit(self.prior) + self.of(list(self.levels))
+
     def of(self, names: Sequence[str]) -> Column:
         """Sum of the weights of these fields' levels; an unknown (null) level weighs nothing."""
         def one(name: str) -> Column:
@@ -45,10 +48,10 @@ class Weights:
         return reduce(lambda a, b: a + b, map(one, names), F.lit(0.0))
 
 
-def fit(pairs: DataFrame, fields: Sequence[Field]) -> Weights:
+def fit(pairs: DataFrame, fields: Sequence[Field], matching: float = 0.1) -> Weights:
     """Weights from ``pairs`` with a column of levels (0 to n - 1, or null) for each field.
 
-    All pairs are counted, in Spark; what reaches the driver is one row per pattern of
+    ``matching`` is the share of matches to start from. All pairs are counted, in Spark; what reaches the driver is one row per pattern of
     levels, of which there are at most the product of the levels.
     """
     names = [f.name for f in fields]
@@ -56,7 +59,7 @@ def fit(pairs: DataFrame, fields: Sequence[Field]) -> Weights:
     levels = np.array([[-1 if r[c] is None else r[c] for c in names] for r in rows], int).reshape(len(rows), len(names))
     n = np.array([r["n"] for r in rows], float)
     start = [(np.array(f.matching) / sum(f.matching), np.array(f.other) / sum(f.other)) for f in fields]
-    m, u, share = [s[0] for s in start], [s[1] for s in start], 0.1
+    m, u, share = [s[0] for s in start], [s[1] for s in start], matching
     for _ in range(MOST_STEPS):
         odds = np.full(len(rows), np.log(share / (1 - share)))
         for i in range(len(fields)):
@@ -70,7 +73,7 @@ def fit(pairs: DataFrame, fields: Sequence[Field]) -> Weights:
             yes, no = count(match) + PSEUDO * m0, count(n - match) + PSEUDO * u0
             new_m.append(yes / yes.sum())
             new_u.append(no / no.sum())
-        share = (match.sum() + 0.1 * PSEUDO) / (n.sum() + PSEUDO)
+        share = (match.sum() + matching * PSEUDO) / (n.sum() + PSEUDO)
         moved = max(np.abs(a - b).max() for a, b in zip(m + u, new_m + new_u))
         m, u = new_m, new_u
         if moved < SETTLED:

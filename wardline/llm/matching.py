@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.linkage import Field, fit
-from wardline.llm.places import agreements, folded
+from wardline.llm.places import agreements, folded, name_agreements
 from wardline.llm.variants import candidate_links, compared, linked_classes
 from wardline.session import cut, release
 
@@ -29,7 +29,7 @@ DAMPED_AFTER = 8
 #: Fields of a candidate, and how often their levels occur among matches and others before anything is fitted.
 FIELDS = (
     Field("name", (0.75, 0.1, 0.08, 0.05, 0.02), (0.02, 0.05, 0.13, 0.4, 0.4)),
-    Field("kind_level", (0.8, 0.15, 0.05), (0.6, 0.25, 0.15)),
+    Field("kind", (0.8, 0.15, 0.05), (0.6, 0.25, 0.15)),
     Field("phone", (0.1, 0.9), (0.995, 0.005)),
     Field("road", (0.1, 0.9), (0.995, 0.005)),
     Field("lot", (0.1, 0.9), (0.995, 0.005)),
@@ -46,9 +46,7 @@ def levels() -> dict[str, Column]:
     x, y = F.col("a.size"), F.col("b.size")
     off = F.abs(x - y)
     beds = F.when((x > 0) & (y > 0), F.when(off <= F.greatest(F.lit(4.0), y * 0.04), 2).when(off <= y * 0.12, 1).otherwise(0))
-    known = (F.col("kind_a") != "") & (F.col("kind_b") != "")
-    kind = F.when(~known, 1).when(F.col("kind_a") == F.col("kind_b"), 0).otherwise(2)
-    return {"name": F.least(F.col("edits"), F.lit(4)), "kind_level": kind, "beds": beds} | {k: v for k, v in agreements("a", "b").items() if k in PLACE}
+    return name_agreements() | {"beds": beds} | {k: v for k, v in agreements("a", "b").items() if k in PLACE}
 
 
 def _lone(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +105,7 @@ def scored(rows: DataFrame, register: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = [f.name for f in FIELDS]
     pairs = cut(links.select(F.col("a.class_id").alias("left"), F.col("key_b").alias("right"), *names))
     weights = fit(pairs, FIELDS)
-    pairs = pairs.withColumn("log_odds", F.lit(weights.prior) + weights.of(names)).withColumn("rival", weights.of(PLACE) < 0)
+    pairs = pairs.withColumn("log_odds", weights.log_odds()).withColumn("rival", weights.of(PLACE) < 0)
     best = F.max(F.struct("log_odds", (~F.col("rival")).alias("friend")))
     pooled = pairs.groupBy("left", "right").agg(best.alias("m")).select("left", "right", "m.log_odds", (~F.col("m.friend")).alias("rival"))
     return of_class.select("key", "class_id"), pooled

@@ -130,3 +130,9 @@ def agreements(a: str, b: str) -> dict[str, Column]:
     wards = both(bed(a, 2), bed(b, 2), F.abs(bed(a, 2) - bed(b, 2)) <= F.greatest(F.lit(8), bed(a, 2) * 0.04))
     equal = {c: both(at(a, c), at(b, c), at(a, c) == at(b, c)) for c in ("phone", "road", "lot", "postal")}
     return equal | {"near": near, "emergency": emergency, "wards": wards}
+
+
+def name_agreements() -> dict[str, Column]:
+    """Levels of a link's names: ``name``, the edits up to 4, and ``kind``, 0 equal, 1 unknown on a side, 2 compatible."""
+    known = (F.col("kind_a") != "") & (F.col("kind_b") != "")
+    return {"name": F.least(F.col("edits"), F.lit(4)), "kind": F.when(~known, 1).when(F.col("kind_a") == F.col("kind_b"), 0).otherwise(2)}

@@ -2,12 +2,13 @@
 
 Rows of a town that share a token of place are a shard. A trie join enumerates, shard by
 shard, the spellings within a few letters of each other, also after putting their
-syllables in one order. Rows under such spellings are compared; agreeing ones are
-linked and the links closed into classes.
+syllables in one order. Rows under such spellings are compared field by field, with
+weights fitted to the candidates; likely pairs are linked and the links closed into classes.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import permutations
 
@@ -15,20 +16,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
+from wardline.llm.linkage import Field, fit
 from wardline.llm.names import _HANGUL, compatible, romanized, spelled
-from wardline.llm.places import COMPARED, agreements, folded, place_tokens
+from wardline.llm.places import COMPARED, agreements, folded, name_agreements, place_tokens
 from wardline.llm.trie import Form, near_rows
 from wardline.session import cut
 
-#: Points of evidence from which two rows under near names are linked.
-LINK_POINTS = 3.0
+#: Probability from which two rows are linked.
+LINKED = 0.9
+#: Fields of a link, and how often their levels occur among rows of one institution and others that share a place and nearly a name, before anything is fitted.
+FIELDS = (
+    Field("name", (0.6, 0.15, 0.1, 0.1, 0.05), (0.05, 0.05, 0.1, 0.4, 0.4)),
+    Field("kind", (0.8, 0.15, 0.05), (0.5, 0.3, 0.2)),
+    Field("phone", (0.1, 0.9), (0.99, 0.01)),
+    Field("road", (0.1, 0.9), (0.9, 0.1)),
+    Field("lot", (0.1, 0.9), (0.9, 0.1)),
+    Field("postal", (0.2, 0.8), (0.8, 0.2)),
+    Field("near", (0.9, 0.06, 0.03, 0.01), (0.1, 0.1, 0.1, 0.7)),
+    Field("emergency", (0.1, 0.9), (0.8, 0.2)),
+    Field("wards", (0.15, 0.85), (0.9, 0.1)),
+)
 #: Keys of one name that are handled as one row when a class is written out in pairs.
 CHUNK = 500
-#: Points of each level of agreement, as log odds: a phone or road in common all but decides, positions far apart decide against.
-POINTS = {
-    "phone": (-2.0, 4.0), "road": (-2.5, 3.5), "lot": (-1.5, 3.0), "postal": (-1.0, 1.5),
-    "near": (1.5, 0.0, -2.5, -6.0), "emergency": (-2.5, 2.0), "wards": (-2.0, 1.0),
-}
 #: Rows of a town beyond which its names are cut into pieces.
 TOWN = 8000
 
@@ -119,28 +128,23 @@ def compared(links: DataFrame, left: DataFrame, right: DataFrame, levels: dict[s
     return cut(links).join(keyed(left, "a"), "key_a").join(keyed(right, "b"), "key_b").withColumns(levels)
 
 
-def link_points() -> Column:
-    """Evidence of place plus that of the name: fewer edits and equal kinds are better."""
-    name = 1.0 - 0.5 * F.least(F.col("edits"), F.lit(4))
-    kind = F.when((F.col("kind_a") == F.col("kind_b")) & (F.col("kind_a") != ""), 0.5).otherwise(0.0)
-    place = [F.coalesce(F.get(F.array(*map(F.lit, POINTS[c])), level), F.lit(0.0)) for c, level in agreements("a", "b").items()]
-    return sum(place, name + kind)
-
-
-def variant_classes(rows: DataFrame, points: float = LINK_POINTS) -> DataFrame:
+def variant_classes(rows: DataFrame, linked: float = LINKED) -> DataFrame:
     """``key, class_id`` of every row that is linked to another; see ``folded`` for the columns of ``rows``."""
-    return linked_classes(cut(folded(rows)), points)
+    return linked_classes(cut(folded(rows)), linked)
 
 
-def linked_classes(plain: DataFrame, points: float = LINK_POINTS) -> DataFrame:
+def linked_classes(plain: DataFrame, linked: float = LINKED) -> DataFrame:
     """``key, class_id`` of every folded row that is linked to another.
 
-    Rows of different ``block`` are never linked (the block is a fact, not a guess).
-    A row without a readable name, or with nothing about its place, is in no class.
+    Weights are fitted to all candidates; those of a probability of ``linked`` or more
+    are links. Rows of different ``block`` are never linked (the block is a fact, not a
+    guess). A row without a readable name, or with nothing about its place, is in no class.
     A row whose kind is unknown joins houses of one kind only, those it agrees with most.
     """
-    links = compared(candidate_links(plain), plain, plain, {"points": link_points()}).where(F.col("points") >= points)
-    links = cut(links.select("key_a", "key_b", "kind_a", "kind_b", "points"))
+    names = [f.name for f in FIELDS]
+    pairs = cut(compared(candidate_links(plain), plain, plain, name_agreements() | agreements("a", "b")).select("key_a", "key_b", "kind_a", "kind_b", *names))
+    weights = fit(pairs, FIELDS, matching=0.5)
+    links = cut(pairs.withColumn("points", weights.log_odds()).where(F.col("points") >= math.log(linked / (1 - linked))).select("key_a", "key_b", "kind_a", "kind_b", "points"))
     unsure = links.where((F.col("kind_a") == "") != (F.col("kind_b") == ""))
     turned = unsure.select(F.when(F.col("kind_a") == "", F.col("key_a")).otherwise(F.col("key_b")).alias("key"), F.greatest("kind_a", "kind_b").alias("kind"), "points")
     chosen = turned.groupBy("key", "kind").agg(F.max("points").alias("points")).groupBy("key").agg(F.max_by("kind", F.struct("points", "kind")).alias("chosen"))
