@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.documents import Declared, path_errors
 from wardline.functions.numbers import clamp, uniform
-from wardline.operators.allocation import observed_or_share
+from wardline.operators.allocation import observed_or_share, region_totals
 from wardline.operators.merging import overridden
 from wardline.sources.sinks import append_rejects, split_rejects, write_checked
 
@@ -37,6 +37,13 @@ def test_overrides_and_shares(spark):
     assert {r.k: (r.amount, r.basis) for r in observed_or_share(t, "seen", "total", "w").collect()} == {"a": (3.0, "observed"), "b": (8.0, "proportional"), "c": (None, "proportional")}
 
 
+def test_region_totals(spark):
+    df = spark.createDataFrame([("11a", 1), ("11b", None), ("12a", 5)], "code string, n int")
+    assert region_totals(df, "code", {"n": "total"}).first().total == 6 and region_totals(df, "code", {"n": "total"}, "11").first().total == 1
+    with pytest.raises(ValueError):
+        region_totals(df, "code", {"n": "total"}, "13")
+
+
 def test_uniform_and_clamp(spark):
     df = spark.range(4000).select(uniform(F.col("id")).alias("u"), clamp(F.col("id").cast("double"), 10.0, 20.0).alias("c"))
     low, high, mean, least, most = df.agg(F.min("u"), F.max("u"), F.avg("u"), F.min("c"), F.max("c")).first()

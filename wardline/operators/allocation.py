@@ -38,3 +38,11 @@ def observed_or_share(df: DataFrame, observed: str, total: str, weight: str) ->
     shared = F.col(total) * F.try_divide(F.col(weight).cast("double"), F.col("__all").cast("double"))
     rows = df.join(F.broadcast(weights))  # one row
     return rows.withColumn("amount", F.coalesce(F.col(observed), shared)).withColumn("basis", F.when(F.col(observed).isNull(), "proportional").otherwise("observed")).drop("__all")
+
+
+def region_totals(df: DataFrame, code: str, sums: dict[str, str], region: str | None = None) -> DataFrame:
+    """One row of sums (column: name of its sum), over all rows or those whose code begins with ``region``; a region without rows is an error."""
+    rows = df if region is None else df.where(F.startswith(code, F.lit(region)))
+    if region is not None and rows.isEmpty():
+        raise ValueError(f"no rows of region {region!r}")
+    return rows.agg(*[F.sum(c).cast("long").alias(name) for c, name in sums.items()])

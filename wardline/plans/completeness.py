@@ -12,12 +12,14 @@ from wardline.functions.documents import Declared, path_errors
 from wardline.functions.geo import usable
 from wardline.functions.labels import town_stem, truthy
 from wardline.functions.numbers import clamp, rounded, uniform
-from wardline.operators.allocation import observed_or_share
+from wardline.operators.allocation import observed_or_share, region_totals
 from wardline.operators.merging import overridden
+from wardline.operators.nearest import nearest
 from wardline.operators.reach import reach
 from wardline.plans.prep import node_table
 from wardline.plans.rates import DEMAND, demand_points
 from wardline.plans.routes import _EDGES, _TIMES, known_edges, part
+from wardline.plans.spatial import _KM
 from wardline.session import ensure_checkpoint_dir
 from wardline.sources.files import keyed_records, read_csv
 from wardline.sources.sinks import split_rejects, write_csv
@@ -198,9 +200,101 @@ def reread_records(spark: SparkSession, d: str) -> DataFrame:
     return keyed_records(documents, "customers", record).select("id", "c_name", "c_acctbal")
 
 
+def ready_town_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of the towns whose flag says that they are ready, per town; the others are not read further."""
+    ready = table(spark, d, "municipality_summary").where(truthy(F.col("ready_for_simulation"))).select("municipality_code").distinct()
+    return table(spark, d, "road_times").select("municipality_code", "duration_minutes").join(ready, "municipality_code", "left_semi").groupBy("municipality_code").agg(F.count("*").alias("n"), rounded(F.avg("duration_minutes"), 4).alias("minutes"))
+
+
+def region_members(spark: SparkSession, d: str) -> DataFrame:
+    """Sites that stand for a demand point of a region that demand points know, by the five digits of the region."""
+    regions = table(spark, d, "demand_population").select(F.substring("administrative_code", 1, 5).alias("region")).distinct()
+    sites = table(spark, d, "candidate_sites").select("candidate_id", F.substring("administrative_code", 1, 5).alias("region")).where("region is not null").distinct()
+    return sites.join(regions, "region", "left_semi").groupBy("region").agg(F.count("*").alias("sites"))
+
+
+def station_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Bases by the town of their station, whatever their address says: how many addresses agree, and how many are overruled or in no known town."""
+    towns = table(spark, d, "municipality_summary").select("municipality_name", "municipality_code", town_stem(F.col("municipality_name")).alias("stem")).distinct()
+    b = table(spark, d, "ambulance_bases").select("node_id", "fire_station", F.get(F.split(F.trim("address"), r"\s+"), F.lit(1)).alias("named")).distinct()
+    known = b.join(towns, F.regexp_replace("fire_station", "소방서$", "") == F.col("stem"))
+    agrees = F.col("named") == F.col("municipality_name")
+    return known.groupBy("municipality_code").agg(F.count("*").alias("bases"), F.count_if(agrees).alias("agree"), F.count_if(~agrees).alias("overruled"), F.count_if(F.col("named").isNull()).alias("unnamed"))
+
+
+def region_sums(spark: SparkSession, d: str) -> DataFrame:
+    """People, points and vehicles stated for all towns, and for those of one region."""
+    t = table(spark, d, "municipality_summary").distinct()
+    sums = {"population_202608": "people", "demand_point_count": "points", "ambulance_count": "vehicles"}
+    return region_totals(t, "municipality_code", sums).withColumn("region", F.lit("all")).unionByName(region_totals(t, "municipality_code", sums, "6101").withColumn("region", F.lit("6101")))
+
+
+def hourly_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each type in every hour of the day against the type's mean hour; 0 where an hour has none."""
+    e = table(spark, d, "events").where("ts is not null")
+    per = e.groupBy("event_type", F.hour("ts").cast("long").alias("hour")).agg(F.count("*").alias("n"))
+    whole = e.groupBy("event_type").agg(F.count("*").alias("total")).withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
+    return whole.join(per, ["event_type", "hour"], "left").select("event_type", "hour", rounded(F.coalesce(F.col("n") * 24.0 / F.col("total"), F.lit(0.0))).alias("rate"))
+
+
+def hour_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Per town, whether the hours in which its providers collect are disjoint, and cover the day."""
+    seen = table(spark, d, "road_times").where("collected_at is not null and routing_provider is not null").select("municipality_code", "routing_provider", F.hour(F.col("collected_at").try_cast("timestamp")).alias("hour")).distinct()
+    per = seen.groupBy("municipality_code", "hour").agg(F.count("*").alias("providers"))
+    return per.groupBy("municipality_code").agg(F.count_if(F.col("providers") > 1).alias("shared"), (24 - F.count("*")).alias("uncovered")).withColumn("partition", (F.col("shared") == 0) & (F.col("uncovered") == 0))
+
+
+#: Corrections of towns that lists are known to name in another way.
+CORRECTED = {"달빛": "달빛시", "가람": "가람시"}
+
+
+def corrected_towns(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluations per town by the first word of the area, after known corrections, and whether the town is known."""
+    first = F.get(F.split(F.trim("area_nm"), r"\s+"), F.lit(0))
+    town = F.lit(None)
+    for wrong, right in CORRECTED.items():
+        town = F.coalesce(town, F.when(first == wrong, right))
+    towns = table(spark, d, "municipality_summary").select(F.col("municipality_name").alias("town"), F.lit(True).alias("known")).distinct()
+    e = table(spark, d, "egen_evaluations").select("instt_cd", F.coalesce(town, first).alias("town")).distinct()
+    return e.groupBy("town").agg(F.count("*").alias("n")).join(towns, "town", "left").select("town", "n", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def half_even_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Eighths of quantities rounded to hundredths half to even, counted."""
+    return table(spark, d, "lineitem").select(F.bround(F.col("l_quantity") / 8, 2).alias("eighth")).groupBy("eighth").agg(F.count("*").alias("n"))
+
+
+def routability_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Sites and their nearest hospital: whether a way between them is measured there and back, counted per town."""
+    sites, hospitals = table(spark, d, "candidate_sites"), table(spark, d, "existing_hospitals")
+    best = nearest(sites, hospitals, point_key="candidate_id", facility_key="node_id")
+    towns = sites.groupBy("candidate_id").agg(F.min("municipality_code").alias("municipality_code"))
+    pairs = best.join(towns, best.point == towns.candidate_id).select("municipality_code", F.concat_ws("::", "municipality_code", F.lit("candidate"), "candidate_id").alias("site"), F.col("facility").alias("hospital"))
+    edges = known_edges(spark, d)
+    way = lambda src, dst, name: edges.select(F.col("src").alias(src), F.col("dst").alias(dst), F.lit(True).alias(name))
+    met = pairs.join(way("site", "hospital", "out"), ["site", "hospital"], "left").join(way("hospital", "site", "back"), ["site", "hospital"], "left")
+    there, back = F.col("out").isNotNull(), F.col("back").isNotNull()
+    return met.groupBy("municipality_code").agg(F.count("*").alias("sites"), F.count_if(there).alias("out"), F.count_if(back).alias("back"), F.count_if(there & back).alias("both"))
+
+
+def isolated_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that no base can reach over any number of legs, per town and kind."""
+    nodes = node_table(spark, d).select(F.col("id").alias("node")).where("node is not null").distinct()
+    bases = table(spark, d, "ambulance_bases").select(F.col("node_id").alias("node"))
+    return nodes.join(reach(known_edges(spark, d), bases), "node", "left_anti").groupBy(part("node", 0).alias("municipality_code"), part("node", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def label_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The code and the name of labels that end in a code of ten digits in brackets; other labels have no code."""
+    p = table(spark, d, "demand_population").select("administrative_code", F.concat("administrative_name", F.lit("  ("), "administrative_code", F.lit(")")).alias("label")).distinct()
+    code = F.nullif(F.regexp_extract("label", r"\(([0-9]{10})\)\s*$", 1), F.lit(""))
+    return p.select("administrative_code", code.alias("code"), F.trim(F.regexp_replace("label", r"\s*\([0-9]{10}\)\s*$", "")).alias("name"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        ready_town_routes, region_members, station_overrides, region_sums, hourly_rates, hour_partition, corrected_towns, half_even_quantities, routability_probe, isolated_nodes, label_codes,
         coordinate_completeness, position_overrides, observed_or_proportional, without_subtotals, selected_by_source, grade_maps, robust_best, geocode_attempts, verified_positions, route_dead_letters,
         nearest_base_by_time, labelled_origins, travel_by_hour, uniform_deciles, property_errors, reread_sites, reread_partitions, reread_records,
     )
@@ -254,4 +348,26 @@ select municipality_code, "hour", floor(minutes_ * ((s / n) / ((select sum(s) fr
     "reread_sites": "select candidate_id, candidate_name, road_address, latitude from candidate_sites",
     "reread_partitions": "select municipality_code source, count(*) n, 0::bigint misplaced from road_times where municipality_code is not null group by 1",
     "reread_records": "select cast(c_custkey as varchar) id, c_name, c_acctbal from customer",
+    "ready_town_routes": """select municipality_code, count(*) n, floor(avg(duration_minutes) * 1e4 + 0.5) / 1e4 "minutes" from road_times
+  where municipality_code in (select municipality_code from municipality_summary where coalesce(lower(trim(ready_for_simulation)) = 'true', false)) group by 1""",
+    "region_members": """select region, count(*) sites from (select distinct candidate_id, substr(administrative_code, 1, 5) region from candidate_sites where administrative_code is not null)
+  where region in (select substr(administrative_code, 1, 5) from demand_population) group by 1""",
+    "station_overrides": r"""with t as (select distinct municipality_name n, municipality_code c from municipality_summary), b as (select distinct node_id, fire_station, regexp_split_to_array(trim(address), '\s+')[2] a from ambulance_bases)
+select c municipality_code, count(*) bases, count(*) filter (a = n) agree, count(*) filter (a <> n) overruled, count(*) filter (a is null) unnamed from b join t on regexp_replace(fire_station, '소방서$', '') = regexp_replace(n, '[시군구]$', '') group by 1""",
+    "region_sums": """with t as (select distinct * from municipality_summary) select 'all' region, cast(sum(population_202608) as bigint) people, cast(sum(demand_point_count) as bigint) points, cast(sum(ambulance_count) as bigint) vehicles from t
+  union all select '6101', cast(sum(population_202608) as bigint), cast(sum(demand_point_count) as bigint), cast(sum(ambulance_count) as bigint) from t where municipality_code like '6101%'""",
+    "hourly_rates": """with e as (select event_type, cast(hour(ts) as bigint) h from events where ts is not null), w as (select event_type, count(*) total from e group by 1), p as (select event_type, h, count(*) n from e group by 1, 2), a as (select event_type, total, unnest(generate_series(0, 23)) h from w)
+select a.event_type, a.h "hour", floor(coalesce(n * 24.0::double / total, 0) * 1e6 + 0.5) / 1e6 rate from a left join p on a.event_type is not distinct from p.event_type and a.h = p.h""",
+    "hour_partition": """with s as (select distinct municipality_code, routing_provider, hour(collected_at::timestamptz at time zone 'UTC') h from road_times where collected_at is not null and routing_provider is not null), p as (select municipality_code, h, count(*) n from s group by 1, 2),
+  c as (select municipality_code, count(*) filter (n > 1) shared, 24 - count(*) uncovered from p group by 1) select *, shared = 0 and uncovered = 0 "partition" from c""",
+    "corrected_towns": r"""with e as (select distinct instt_cd, case split_part(trim(area_nm), ' ', 1) when '달빛' then '달빛시' when '가람' then '가람시' else split_part(trim(area_nm), ' ', 1) end town from egen_evaluations)
+select town, count(*) n, town in (select municipality_name from municipality_summary) known from e group by 1""",
+    "half_even_quantities": "select round_even(l_quantity / 8, 2) eighth, count(*) n from lineitem group by 1",
+    "routability_probe": f"""with {_EDGES}, a as (select candidate_id, min((latitude, longitude)) p from candidate_sites where {_OK} group by 1), t as (select candidate_id, min(municipality_code) c from candidate_sites group by 1),
+  s as (select candidate_id, c, p[1] latitude, p[2] longitude from a join t using (candidate_id)), h as (select node_id, p[1] latitude, p[2] longitude from (select node_id, min((latitude, longitude)) p from existing_hospitals where {_OK} group by 1)),
+  k as (select candidate_id, c, arg_min(node_id, (km, node_id)) h from (select candidate_id, c, node_id, {_KM} km from s a, h b) group by 1, 2), e as (select src, dst from edges)
+select c municipality_code, count(*) sites, count(o.src) "out", count(b.src) back, count(case when o.src is not null and b.src is not null then 1 end) "both" from k
+  left join e o on o.src = c || '::candidate::' || candidate_id and o.dst = h left join e b on b.dst = c || '::candidate::' || candidate_id and b.src = h group by 1""",
+    "isolated_nodes": f"""with recursive {_TIMES} select split_part(id, '::', 1) municipality_code, split_part(id, '::', 2) kind, count(*) n from ids where id is not null and id not in (select node from times) group by 1, 2""",
+    "label_codes": "select distinct administrative_code, case when administrative_code similar to '[0-9]{10}' then administrative_code end code, trim(administrative_name) name from demand_population",
 }
