@@ -91,20 +91,43 @@ def _key(word: str) -> str:
     return word if len(word) < 4 or _HANGUL.search(word) else "".join(sorted(set(word)))
 
 
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+@lru_cache(100_000)
+def _grams(*keys: str) -> int:
+    """The feature of two or three words in a row."""
+    return _hashed(f"{len(keys)}{' '.join(keys)}")
+
+
+def _features_of_word(word: str) -> tuple[str, tuple[int, ...]]:
+    """A word's key, and its features: itself and the characters within it."""
+    key = _key(word)
+    names = {f"1{key}"}
+    if _HANGUL.search(word):
+        names.update(f"k{word[i : i + 2]}" for i in range(len(word) - 1))
+        names.update(f"s{c}" for c in word)
+    elif len(word) > 3:
+        marked = f"<{word}>"
+        names.update(f"c{marked[i : i + 4]}" for i in range(len(marked) - 3))
+    return key, tuple({_hashed(n) for n in names})
+
+
+_short_word = lru_cache(100_000)(_features_of_word)
+
+
 def features(words: tuple[str, ...]) -> np.ndarray:
     """Hashed features of a segment: words, their pairs and triples, and characters within words."""
-    keys = ["<", *map(_key, words), ">"]
-    names = {f"1{k}" for k in keys[1:-1]}
-    names |= {f"2{a} {b}" for a, b in zip(keys, keys[1:])}
-    names |= {f"3{a} {b} {c}" for a, b, c in zip(keys, keys[1:], keys[2:])}
+    keys, found = ["<"], set()
     for word in words:
-        if _HANGUL.search(word):
-            names.update(f"k{word[i : i + 2]}" for i in range(len(word) - 1))
-            names.update(f"s{c}" for c in word)
-        elif len(word) > 3:
-            marked = f"<{word}>"
-            names.update(f"c{marked[i : i + 4]}" for i in range(len(marked) - 3))
-    return np.fromiter({zlib.crc32(n.encode("utf-8", "surrogatepass")) % FEATURES for n in names}, np.int32)
+        key, own = _short_word(word) if len(word) <= 50 else _features_of_word(word)
+        keys.append(key)
+        found.update(own)
+    keys.append(">")
+    found.update(map(_grams, keys, keys[1:]))
+    found.update(map(_grams, keys, keys[1:], keys[2:]))
+    return np.fromiter(found, np.int32)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
