@@ -178,7 +178,10 @@ def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str,
             if not sides[0] or not sides[1]:
                 return
             same = own and sides[0].keys() == sides[1].keys()
-            near = known(tuple(sorted(sides[0]))) if same else near_words(forms, sides[0], sides[1])
+            if len(sides[0].keys() | sides[1].keys()) == 1:
+                near = {(word, word): 0 for word in sides[0]}  # one spelling, as most places have: nothing to traverse
+            else:
+                near = known(tuple(sorted(sides[0]))) if same else near_words(forms, sides[0], sides[1])
             for (a, b), edits in near.items():
                 if same and a > b and near.get((b, a), edits + 1) <= edits:
                     continue  # met the other way round
