@@ -10,6 +10,8 @@ them until they settle; the marginals are the confidences.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ FOUND_CONFIDENCE = 0.5
 #: Rounds by which messages must have settled; it takes about as many as the longest chain of competing candidates.
 ROUNDS = 300
 SETTLED = 1e-4
-#: Rounds after which half of the old message is kept, against oscillation.
-DAMPED_AFTER = 8
+#: Share of the old message that is kept from a round on, against oscillation.
+DAMPING = ((0, 0.0), (8, 0.5), (60, 0.8))
 
 #: Fields of a candidate, and how often their levels occur among matches and others before anything is fitted.
 FIELDS = (
@@ -79,7 +81,7 @@ def beliefs(candidates: DataFrame, rounds: int = ROUNDS, settled: float = SETTLE
         others = F.exp(F.greatest(F.col("friends") - friend, F.lit(0.0)))  # all states of the other friends
         rivals = F.greatest(F.col("foes") - foe, F.lit(0.0))
         fresh = F.when(F.col("rival"), 1 / (others + rivals)).otherwise(1 / (1 + rivals / others))
-        kept = 0.5 if n >= DAMPED_AFTER else 0.0
+        kept = max(share for since, share in DAMPING if n >= since)
         told = out.join(ends, "right").withColumn("from_right", (1 - kept) * fresh + kept * F.col("from_right"))
         belief = F.col("odds") * F.col("from_left") * F.col("from_right")
         now = cut(told.withColumn("before", F.col("marginal")).withColumn("marginal", belief / (1 + belief)).select("left", "right", "rival", "odds", "from_left", "from_right", "marginal", F.abs(F.col("marginal") - F.col("before")).alias("change")))
@@ -95,17 +97,16 @@ def beliefs(candidates: DataFrame, rounds: int = ROUNDS, settled: float = SETTLE
     return alone.unionByName(edges.select("left", "right", F.col("marginal").alias("confidence")))
 
 
-def scored(rows: DataFrame, register: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``key, class_id`` of all rows, candidates ``left, right, log_odds, rival`` of the classes)."""
+def scored(rows: DataFrame, register: DataFrame, fields: Sequence[str] = tuple(f.name for f in FIELDS)) -> tuple[DataFrame, DataFrame]:
+    """(``key, class_id`` of all rows, candidates ``left, right, log_odds, rival`` of the classes), judged by ``fields``."""
     sized = lambda folded_rows, raw: folded_rows.join(raw.groupBy("key").agg(F.max("size").cast("double").alias("size")), "key")
     left, right = cut(sized(folded(rows), rows)), cut(sized(folded(register), register))
     classes = linked_classes(left.drop("size"))
     of_class = cut(left.join(classes, "key", "left").withColumn("class_id", F.coalesce("class_id", "key")))
     links = compared(candidate_links(left, right), of_class, right, levels())
-    names = [f.name for f in FIELDS]
-    pairs = cut(links.select(F.col("a.class_id").alias("left"), F.col("key_b").alias("right"), *names))
-    weights = fit(pairs, FIELDS)
-    pairs = pairs.withColumn("log_odds", weights.log_odds()).withColumn("rival", weights.of(PLACE) < 0)
+    pairs = cut(links.select(F.col("a.class_id").alias("left"), F.col("key_b").alias("right"), *fields))
+    weights = fit(pairs, [f for f in FIELDS if f.name in fields])
+    pairs = pairs.withColumn("log_odds", weights.log_odds()).withColumn("rival", weights.of([c for c in PLACE if c in fields]) < 0)
     best = F.max(F.struct("log_odds", (~F.col("rival")).alias("friend")))
     pooled = pairs.groupBy("left", "right").agg(best.alias("m")).select("left", "right", "m.log_odds", (~F.col("m.friend")).alias("rival"))
     return of_class.select("key", "class_id"), pooled

@@ -84,12 +84,17 @@ def evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p5_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Every source row that has a candidate, its likeliest record and the confidence."""
+def source_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Both source tables as the entity operators take them, towns by name; the key tells the table."""
     hospitals = hospital_rows(spark, d)
     hospitals = hospitals.withColumn("block", F.col("town")).withColumn("size", F.aggregate("beds", F.lit(0), lambda s, x: s + x))
     both = evaluation_rows(spark, d).withColumn("src_table", F.lit("egen_evaluations")).unionByName(hospitals.withColumn("src_table", F.lit("existing_hospitals")))
-    found = match(both.withColumn("key", F.concat_ws("|", "src_table", "key")), register_rows(spark, d))
+    return both.withColumn("key", F.concat("src_table", F.lit("|"), "key"))
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every source row that has a candidate, its likeliest record and the confidence."""
+    found = match(source_rows(spark, d), register_rows(spark, d))
     parts = F.split("key", r"\|", 2)
     return found.select(parts[0].alias("src_table"), parts[1].alias("src_key"), F.col("record").alias("care_symbol"), "confidence")
 
