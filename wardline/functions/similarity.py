@@ -43,11 +43,34 @@ def _similarity(contained_from: int, block: bool):
     return run
 
 
+def simple(text: Column) -> Column:
+    """Whether a text holds only Hangul syllables and ASCII, which normalizing leaves as they are."""
+    return F.coalesce(text.rlike(r"^[가-힣\x20-\x7e]*$"), F.lit(False))
+
+
+def simple_normal(text: Column) -> Column:
+    """``normal`` of a simple text as a column expression."""
+    return F.lower(F.regexp_replace(text, "[^가-힣A-Za-z0-9]", ""))
+
+
+def contained(a: Column, b: Column, least: int) -> Column:
+    """Whether one of two simple texts, normalized, of at least ``least`` letters lies within the other; false for other texts."""
+    x, y = simple_normal(a), simple_normal(b)
+    return F.coalesce(simple(a) & simple(b) & (F.least(F.length(x), F.length(y)) >= least) & (F.contains(x, y) | F.contains(y, x)), F.lit(False))
+
+
+def _similar(a: Column, b: Column, least: int, block: bool) -> Column:
+    """What columns can tell is told by columns; only the rest is compared letter by letter."""
+    inside = contained(a, b, least)
+    left = lambda c: F.when(~inside & a.isNotNull() & b.isNotNull(), c)
+    return F.when(inside, 1.0).otherwise(F.pandas_udf(_similarity(least, block), "double")(left(a), left(b)))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """0 to 1; names contained in one another from 4 letters on are equal."""
-    return F.pandas_udf(_similarity(4, True), "double")(a, b)
+    return _similar(a, b, 4, True)
 
 
 def address_similarity(a: Column, b: Column) -> Column:
     """0 to 1; addresses contained in one another from 8 letters on are equal."""
-    return F.pandas_udf(_similarity(8, False), "double")(a, b)
+    return _similar(a, b, 8, False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions.geo import usable
 from wardline.functions.labels import first_text
 from wardline.functions.numbers import rounded
-from wardline.functions.similarity import address_similarity, name_similarity, normalized
+from wardline.functions.similarity import address_similarity, contained, name_similarity, normalized, simple, simple_normal
 from wardline.operators.skew import split_join
 from wardline.plans.prep import node_table
 from wardline.plans.routes import part
@@ -78,6 +78,14 @@ def stated_match_review(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("score", score).select("node_id", rounded(F.col("score"), 4).alias("similarity"), rounded(F.col("capacity_match_score"), 4).alias("stated"), (normalized(F.col("hospital_name")) == normalized(F.col("hira_hospital_name"))).alias("exact"), (F.col("score") < REVIEW_BELOW).alias("review"))
 
 
+def stated_names_contained(spark: SparkSession, d: str) -> DataFrame:
+    """Hospitals whose stated register name equals theirs, or contains it or is contained in it, as far as plain letters tell."""
+    h = table(spark, d, "existing_hospitals").select("node_id", "hospital_name", "hira_hospital_name").where("hira_hospital_name is not null and hospital_name is not null").distinct()
+    a, b = F.col("hospital_name"), F.col("hira_hospital_name")
+    told = h.where(simple(a) & simple(b)).select("node_id", (simple_normal(a) == simple_normal(b)).alias("exact"), contained(a, b, 4).alias("contained"))
+    return told.where("exact or contained")
+
+
 def phone_match_scores(spark: SparkSession, d: str) -> DataFrame:
     """Hospitals and register institutions of a town with one phone: weighted similarity of names and addresses, the best institution each (ties: the larger symbol)."""
     digits = lambda c: F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(7))
@@ -89,7 +97,7 @@ def phone_match_scores(spark: SparkSession, d: str) -> DataFrame:
     return met.withColumn("score", score).groupBy("node_id").agg(F.max(F.struct("score", "care_symbol")).alias("m")).select("node_id", F.col("m.care_symbol").alias("care_symbol"), rounded(F.col("m.score"), 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (dictionary_codes, canvas_positions, provenance_lists, missing_counts, hour_completeness, unused_nodes, stated_match_review, phone_match_scores)}
+QUERIES = {f.__name__: f for f in (dictionary_codes, canvas_positions, provenance_lists, missing_counts, hour_completeness, unused_nodes, stated_match_review, stated_names_contained, phone_match_scores)}
 
 _NODES = """(select municipality_code || '::demand::' || administrative_code id from demand_population union select municipality_code || '::candidate::' || candidate_id from candidate_sites
   union select node_id from existing_hospitals union select node_id from ambulance_bases)"""
@@ -113,4 +121,7 @@ select municipality_code, cast(len(hs) as bigint) present, array_to_string(list_
   u as (select split_part(id, '::', 1) municipality_code, split_part(id, '::', 2) kind, m, count(*) used from (select distinct origin_id id, strftime(collected_at::timestamptz at time zone 'UTC', '%Y-%m') m from road_times where collected_at is not null)
     where id in (select id from {_NODES} where id is not null) group by 1, 2, 3)
 select municipality_code, kind, m "month", nodes, nodes - used unused from n join u using (municipality_code, kind)""",
+    "stated_names_contained": """with h as (select distinct node_id, hospital_name a, hira_hospital_name b from existing_hospitals where regexp_full_match(hospital_name, '[가-힣\x20-\x7e]*') and regexp_full_match(hira_hospital_name, '[가-힣\x20-\x7e]*')),
+  n as (select node_id, lower(regexp_replace(a, '[^가-힣A-Za-z0-9]', '', 'g')) x, lower(regexp_replace(b, '[^가-힣A-Za-z0-9]', '', 'g')) y from h),
+  t as (select node_id, x = y exact, least(length(x), length(y)) >= 4 and (contains(x, y) or contains(y, x)) contained from n) select * from t where exact or contained""",
 }
