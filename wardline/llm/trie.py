@@ -195,8 +195,8 @@ def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str,
                             pair = (key_a, key_b, edits, kind_a, kind_b)
                         for c, v in zip(out, pair):
                             c.append(v)
-                if len(out[0]) >= 10_000:
-                    yield emitted()
+                    if len(out[0]) >= 10_000:
+                        yield emitted()
 
         last, rows = None, []
         for batch in batches:
