@@ -60,6 +60,16 @@ def test_rows_sent_grow_with_the_names_of_a_town(spark):
     assert sent(400) < 2.2 * sent(200)
 
 
+def test_words_that_are_near_could_meet():
+    r = random.Random(11)
+    words = sorted({"".join(r.choices("가나다라마바사", k=r.randint(1, 4))) for _ in range(80)} | {"gana", "dara", "nagada"})
+    for forms in (variants.spellings, variants.wide_spellings):
+        letters = {w: trie.bags(forms(w)) for w in words}
+        near = trie.near_words(forms, words)
+        could = {(a, b) for a in words for b in words if trie.could_meet(letters[a], letters[b])}
+        assert near.keys() <= could and len(could) < len(words) ** 2
+
+
 def test_what_does_not_ask_is_found_by_asking_rows_of_either_side():
     forms = lambda w: [trie.Form("r", w.lower(), 1, 1, w.islower())]
     assert trie.near_words(forms, ["AB", "abc"], ["ab", "ABC"]) == {("AB", "ab"): 0, ("abc", "ab"): 1, ("abc", "ABC"): 0}

@@ -11,6 +11,7 @@ it can reach.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,6 +25,8 @@ from wardline.session import cut
 
 #: Rows of a shard beyond which it is cut by segments, and rows of a side of a cut that meet in one task.
 PART = 1500
+#: Pairs of words of a shard up to which they are looked at one by one before any trie is made.
+FEW = 100
 
 
 class Trie:
@@ -129,6 +132,26 @@ def near_words(forms: Forms, left: Iterable[str], right: Iterable[str] | None =
     return best
 
 
+def bags(forms: Sequence[Form]) -> list[tuple[Counter, dict[str, tuple[int, bool]]]]:
+    """The letters of a word's forms, in any order, and for each sort of them the edits allowed and whether one asks."""
+    found: dict[str, dict[str, tuple[int, bool]]] = {}
+    for f in forms:
+        sorts = found.setdefault("".join(sorted(f.text)), {})
+        edits, asks = sorts.get(f.sort, (0, False))
+        sorts[f.sort] = max(edits, f.edits), asks or f.asks
+    return [(Counter(bag), sorts) for bag, sorts in found.items()]
+
+
+def could_meet(a: list[tuple[Counter, dict]], b: list[tuple[Counter, dict]]) -> bool:
+    """Whether the letters of two words leave it open that they are near: each letter that only one has is an edit."""
+    for x, x_sorts in a:
+        for y, y_sorts in b:
+            most = max((max(x_sorts[s][0], y_sorts[s][0]) for s in x_sorts.keys() & y_sorts.keys() if x_sorts[s][1] or y_sorts[s][1]), default=-1)
+            if most >= 0 and max((x - y).total(), (y - x).total()) <= most:
+                return True
+    return False
+
+
 def cuts(forms: Sequence[Form]) -> tuple[set[str], set[str]]:
     """Keys under which a word lies in a crowded shard as found, and those under which it asks.
 
@@ -160,6 +183,18 @@ def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lru_cache(20_000)(lambda words: near_words(forms, words))
+        letters = lru_cache(100_000)(lambda word: bags(forms(word)))
+        open_pair = lru_cache(200_000)(lambda a, b: could_meet(letters(a), letters(b)))
+
+        def near_in(left: Iterable[str], right: Iterable[str], same: bool) -> dict[tuple[str, str], int]:
+            """Of few words only those that could meet another are traversed; most at a place can't, or are the same."""
+            equal = {(w, w): 0 for w in left if w in right}
+            if len(left) * len(right) > FEW:
+                return known(tuple(sorted(left))) if same else near_words(forms, left, right)
+            pairs = [(a, b) for a in left for b in right if a != b and open_pair(*sorted((a, b)))]
+            if same:
+                return equal | (known(tuple(sorted({w for pair in pairs for w in pair}))) if pairs else {})
+            return equal | (near_words(forms, {a for a, _ in pairs}, {b for _, b in pairs}) if pairs else {})
         out: tuple[list, ...] = ([], [], [], [], [])
 
         def emitted() -> pa.RecordBatch:
@@ -178,10 +213,7 @@ def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str,
             if not sides[0] or not sides[1]:
                 return
             same = own and sides[0].keys() == sides[1].keys()
-            if len(sides[0].keys() | sides[1].keys()) == 1:
-                near = {(word, word): 0 for word in sides[0]}  # one spelling, as most places have: nothing to traverse
-            else:
-                near = known(tuple(sorted(sides[0]))) if same else near_words(forms, sides[0], sides[1])
+            near = near_in(sides[0], sides[1], same)
             for (a, b), edits in near.items():
                 if same and a > b and near.get((b, a), edits + 1) <= edits:
                     continue  # met the other way round
