@@ -12,7 +12,7 @@ import math
 from functools import lru_cache
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
@@ -20,6 +20,7 @@ from wardline.llm.linkage import Field, fit
 from wardline.llm.names import _HANGUL, compatible, romanized, spelled
 from wardline.llm.places import COMPARED, agreements, folded, name_agreements, place_tokens
 from wardline.llm.trie import Form, near_rows
+from wardline.operators.skew import split_join
 from wardline.session import cut
 
 #: Probability from which two rows are linked.
@@ -108,8 +109,10 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, town: int =
         return named(tokens, F.concat_ws("\x1e", "block", "token"), F.col("token"))
 
     if right is None:
-        alike_rows = Window.partitionBy(*(c for c in left.columns if c != "key"))
-        headed = cut(left.where(F.size("readings") > 0).withColumn("head", F.min("key").over(alike_rows)))
+        same = F.md5(F.to_json(F.struct(*[c for c in left.columns if c != "key"])).cast("binary"))
+        named_rows = left.where(F.size("readings") > 0).withColumn("same", same)
+        first = named_rows.groupBy("same").agg(F.min("key").alias("head"))
+        headed = cut(split_join(named_rows, first, ["same"]).drop("same"))
         heads = headed.where(F.col("key") == F.col("head"))
         met = near_rows(at_places(heads), None, wide_spellings, compatible, same_kind)
         kind = F.array_max(F.col("readings.kind"))
