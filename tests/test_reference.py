@@ -11,7 +11,8 @@ from wardline.functions.labels import address_key, base_place, first_text, truth
 from wardline.functions.numbers import band, count_of, hour_of, survival
 from wardline.operators.allocation import even_share, largest_remainder, share_of
 from wardline.operators.checks import Rule, duplicates, require_none, violations
-from wardline.operators.estimates import changes, estimate, paired
+from wardline.operators.estimates import estimate, paired
+from wardline.operators.sequences import changes
 from wardline.operators.merging import evolved, first_kept, last_wins, registry_differences, tiers
 from wardline.operators.nearest import grid, top_share_excluded
 from wardline.operators.reach import best_edges, reach
