@@ -51,11 +51,11 @@ class Weights:
 def fit(pairs: DataFrame, fields: Sequence[Field], matching: float = 0.1) -> Weights:
     """Weights from ``pairs`` with a column of levels (0 to n - 1, or null) for each field.
 
-    ``matching`` is the share of matches to start from. All pairs are counted, in Spark; what reaches the driver is one row per pattern of
+    ``matching`` is the share of matches to start from. A column ``n``, if there is one, tells how many pairs a row stands for. All pairs are counted, in Spark; what reaches the driver is one row per pattern of
     levels, of which there are at most the product of the levels.
     """
     names = [f.name for f in fields]
-    rows = pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()
+    rows = pairs.groupBy(*names).agg((F.sum("n") if "n" in pairs.columns else F.count("*")).alias("n")).collect()
     levels = np.array([[-1 if r[c] is None else r[c] for c in names] for r in rows], int).reshape(len(rows), len(names))
     n = np.array([r["n"] for r in rows], float)
     start = [(np.array(f.matching) / sum(f.matching), np.array(f.other) / sum(f.other)) for f in fields]

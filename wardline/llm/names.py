@@ -117,7 +117,21 @@ def distance(a: str, b: str, most: int) -> int:
     return min(old[-1], most + 1)
 
 
-_SPELLED_KINDS = {k: spelled(k) for k in KINDS if len(k) >= 2}
+@cache
+def _mask(syllable: str) -> int:
+    """A bit for each letter that a syllable has."""
+    return sum({1 << ord(c) % 64 for c in letters(syllable)})
+
+
+def _letter_mask(text: str) -> int:
+    mask = 0
+    for c in text:
+        mask |= _mask(c)
+    return mask
+
+
+#: Endings with their kinds, letters, letters as bits, and the sizes of an ending of a name that can be a misspelt one.
+_ENDINGS = tuple((k, kind, spelled(k) if len(k) >= 2 else "", _letter_mask(k), (len(k), len(k) - 1, len(k) + 1) if len(k) > 3 else (len(k),)) for k, kind in KINDS.items())
 
 
 @lru_cache(50_000)
@@ -129,7 +143,8 @@ def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
     """
     found: list[tuple[float, str, str]] = []
     exact = max((len(e) for e in KINDS if text.endswith(e) and len(text) > len(e)), default=0)
-    for ending, kind in KINDS.items():
+    masks: dict[int, int] = {}
+    for ending, kind, spelt, mask, sizes in _ENDINGS:
         n = len(ending)
         if text.endswith(ending) and len(text) > n:
             if n == exact or n == 2 and text.endswith("대병원"):  # which may be an abbreviation, or a name that ends so
@@ -137,17 +152,22 @@ def _kinds_at_end(text: str) -> tuple[tuple[str, str], ...]:
             continue
         if n <= exact or n == 2 and ending not in ("병원", "의원") or n == 3 and ending[-1] != "원":
             continue
-        for size in (n, n - 1, n + 1) if n > 3 else (n,):
+        for size in sizes:
             if len(text) <= size:
                 continue
-            end = text[-size:]
-            if sorted(end) == sorted(ending):
+            end, allowed = text[-size:], 1 if n < 4 else 2
+            own = masks.get(size)
+            if own is None:
+                own = masks[size] = _letter_mask(end)
+            part = size == n - 1 and n > 3 and not own & ~mask
+            if not part and ((own & ~mask).bit_count() > allowed or (mask & ~own).bit_count() > allowed):
+                continue  # each letter that only one has is an edit
+            if own == mask and sorted(end) == sorted(ending):
                 cost = 0.8
-            elif size == n - 1 and n > 3 and any(ending[:i] + ending[i + 1 :] == end for i in range(n)):
+            elif part and any(ending[:i] + ending[i + 1 :] == end for i in range(n)):
                 cost = 1.0
             else:
-                allowed = 1 if n < 4 else 2
-                cost = distance(spelled(end), _SPELLED_KINDS[ending], allowed)
+                cost = distance(spelled(end), spelt, allowed)
                 if cost > allowed:
                     continue
             found.append((cost - 0.6 * n, text[:-size], kind))

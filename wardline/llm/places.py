@@ -64,7 +64,9 @@ def folded(rows: DataFrame) -> DataFrame:
     columns = ["key", "block", "name", "town", "phone", "addresses", "postal", "lat", "lon", "beds", "stated"]
     rows = rows if "stated" in rows.columns else rows.withColumn("stated", F.lit(None).cast("string"))
     ok = usable(F.col("lat"), F.col("lon"))
-    one = rows.where(F.col("key").isNotNull()).select(*columns).withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double")).withColumn("beds", F.col("beds").cast("array<int>")).dropDuplicates(["key"])
+    one = rows.where(F.col("key").isNotNull()).select(*columns).withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double")).withColumn("beds", F.col("beds").cast("array<int>"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    one = one.repartition(tasks, "key").dropDuplicates(["key"])  # few bytes, much work: not to be coalesced
     one = one.withColumn("lon", F.when(ok, F.col("lon"))).withColumn("lat", F.when(ok, F.col("lat")))
 
     readings = pa.list_(pa.struct([("core", pa.string()), ("kind", pa.string())]))
@@ -109,8 +111,8 @@ def place_tokens(near_km: float = NEAR_KM) -> Column:
     return F.array_compact(F.array(*named, *cells, beds))
 
 
-#: Columns that comparisons of two rows read.
-COMPARED = ("phone", "road", "lot", "postal", "lat", "lon", "beds", "size", "class_id")
+#: Columns that comparisons of two rows read; ``n`` are the equal rows that one stands for.
+COMPARED = ("phone", "road", "lot", "postal", "lat", "lon", "beds", "size", "n")
 
 
 def agreements(a: str, b: str) -> dict[str, Column]:

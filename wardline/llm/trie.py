@@ -16,17 +16,22 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.edits import BLOCK, Words, ranges, spans
 from wardline.operators.skew import split_join
 from wardline.session import cut
 
 #: Rows of a shard beyond which it is cut by segments, and rows of a side of a cut that meet in one task.
-PART = 1500
-#: Pairs of words of a shard up to which they are looked at one by one before any trie is made.
+PART = 8000
+#: Pairs of long words of a shard up to which they are looked at one by one before any trie is made.
 FEW = 100
+#: Rows from which a task compares the shards that it holds.
+ROWS = 30_000
 
 
 class Trie:
@@ -178,75 +183,106 @@ LEFT, RIGHT = 1, 2
 _PAIR = ["key_a", "key_b", "edits", "kind_a", "kind_b"]
 
 
+def _near_long(forms: Forms, left: set[str], right: set[str], long: set[str]) -> dict[tuple[str, str], int]:
+    """Near words of two sides of which one is too long for the columns, by traversal; of few only those that could meet."""
+    near: dict[tuple[str, str], int] = {}
+    for own, other in ((left & long, right), (left - long, right & long)):
+        if own and other and len(own) * len(other) <= FEW:
+            letters = {w: bags(forms(w)) for w in own | other}
+            pairs = [(a, b) for a in own for b in other if could_meet(letters[a], letters[b])]
+            own, other = {a for a, _ in pairs}, {b for _, b in pairs}
+        if own and other:
+            near |= near_words(forms, own, other)
+    return near
+
+
+def _sided(rows: np.ndarray, spot: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of spot and word; (spot * words + word) of the entries that they make, and the start and count of the rows of each."""
+    rows = rows[np.argsort(spot[rows] * words + word[rows], kind="stable")]
+    entry = spot[rows] * words + word[rows]
+    start = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+    return rows, entry[start], start, np.diff(np.r_[start, len(rows)])
+
+
 def _met(placed: DataFrame, own: bool, forms: Forms, compatible: Callable[[str, str], bool]) -> DataFrame:
     """Near pairs within each ``shard, piece, i, j`` of ``placed``; ``side`` tells whether a row is asked for, found or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(20_000)(lambda words: near_words(forms, words))
-        letters = lru_cache(100_000)(lambda word: bags(forms(word)))
-        open_pair = lru_cache(200_000)(lambda a, b: could_meet(letters(a), letters(b)))
-
-        def near_in(left: Iterable[str], right: Iterable[str], same: bool) -> dict[tuple[str, str], int]:
-            """Of few words only those that could meet another are traversed; most at a place can't, or are the same."""
-            equal = {(w, w): 0 for w in left if w in right}
-            if len(left) * len(right) > FEW:
-                return known(tuple(sorted(left))) if same else near_words(forms, left, right)
-            pairs = [(a, b) for a in left for b in right if a != b and open_pair(*sorted((a, b)))]
-            if same:
-                return equal | (known(tuple(sorted({w for pair in pairs for w in pair}))) if pairs else {})
-            return equal | (near_words(forms, {a for a, _ in pairs}, {b for _, b in pairs}) if pairs else {})
-        out: tuple[list, ...] = ([], [], [], [], [])
-
-        def emitted() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=_PAIR)
-            for c in out:
-                c.clear()
-            return batch
-
-        def meet(rows: list[tuple[int, str, str, str]]) -> Iterator[pa.RecordBatch]:
-            sides: tuple[dict, dict] = ({}, {})
-            for side, key, word, kind in rows:
-                for n, flag in enumerate((LEFT, RIGHT)):
-                    if side & flag:
-                        sides[n].setdefault(word, []).append((key, kind))
-            if not sides[0] or not sides[1]:
+        fits = lru_cache(None)(compatible)
+
+        def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """The pairs of whole spots."""
+            at = table.column("spot").combine_chunks()
+            spot = np.r_[0, np.cumsum(pc.not_equal(at[1:], at[:-1]).to_numpy(zero_copy_only=False))]
+            side = table.column("side").to_numpy()
+            in_left, in_right = (np.bincount(spot, (side & flag) > 0) for flag in (LEFT, RIGHT))
+            whole = (np.bincount(spot, side == LEFT | RIGHT) == np.bincount(spot)) & own
+            kept = np.flatnonzero(((in_left > 0) & (in_right > 0) & ((in_left > 1) | ~whole))[spot])
+            if not len(kept):
                 return
-            same = own and sides[0].keys() == sides[1].keys()
-            near = near_in(sides[0], sides[1], same)
-            for (a, b), edits in near.items():
-                if same and a > b and near.get((b, a), edits + 1) <= edits:
-                    continue  # met the other way round
-                for key_a, kind_a in sides[0][a]:
-                    for key_b, kind_b in sides[1][b]:
-                        if own and (key_a == key_b or a == b and same and key_a > key_b) or not compatible(kind_a, kind_b):
-                            continue
-                        if own and key_b < key_a:
-                            pair = (key_b, key_a, edits, kind_b, kind_a)
-                        else:
-                            pair = (key_a, key_b, edits, kind_a, kind_b)
-                        for c, v in zip(out, pair):
-                            c.append(v)
-                    if len(out[0]) >= 10_000:
-                        yield emitted()
-
-        last, rows = None, []
+            spot, side, table = spot[kept], side[kept], table.take(pa.array(kept))
+            words, kinds, keys = (table.column(c).combine_chunks().dictionary_encode() for c in ("word", "kind", "key"))
+            word, kind, key = (c.indices.to_numpy().astype(np.int64) for c in (words, kinds, keys))
+            texts, n = words.dictionary.to_pylist(), len(words.dictionary)
+            known = Words(texts, forms)
+            fit = np.array([[fits(x, y) for y in kinds.dictionary.to_pylist()] for x in kinds.dictionary.to_pylist()], bool)
+            if own:
+                rank = np.empty(len(keys.dictionary), np.int64)
+                rank[pc.sort_indices(keys.dictionary).to_numpy()] = np.arange(len(rank))
+            (l_rows, l_entry, l_start, l_count), (r_rows, r_entry, r_start, r_count) = (_sided(np.flatnonzero(side & flag), spot, word, n) for flag in (LEFT, RIGHT))
+            l_spot, r_spot = l_entry // n, r_entry // n
+            one = whole[l_spot]  # those of a whole spot meet themselves and what comes behind
+            first = np.where(one, np.searchsorted(r_entry, l_entry), np.searchsorted(r_spot, l_spot))
+            count = np.searchsorted(r_spot, l_spot, "right") - first
+
+            def rows_of(l: np.ndarray, r: np.ndarray, edits: np.ndarray) -> Iterator[pa.RecordBatch]:
+                """The pairs of rows of pairs of entries."""
+                for wide in spans(l_count[l]):
+                    p, x = ranges(l_start[l[wide]], l_count[l[wide]])
+                    p = p + wide.start
+                    for some in spans(r_count[r[p]], BLOCK // 4):
+                        q, y = ranges(r_start[r[p[some]]], r_count[r[p[some]]])
+                        pair, a, b = p[some][q], l_rows[x[some][q]], r_rows[y]
+                        ok = fit[kind[a], kind[b]]
+                        if own:
+                            ok &= np.where(one[l[pair]] & (l_entry[l[pair]] == r_entry[r[pair]]), rank[key[a]] < rank[key[b]], key[a] != key[b])
+                        pair, a, b = pair[ok], a[ok], b[ok]
+                        if own:
+                            turned = rank[key[b]] < rank[key[a]]
+                            a, b = np.where(turned, b, a), np.where(turned, a, b)
+                        if len(pair):
+                            told = lambda values, i: values.dictionary.take(pa.array(i))
+                            columns = [told(keys, key[a]), told(keys, key[b]), pa.array(edits[pair], pa.int32()), told(kinds, kind[a]), told(kinds, kind[b])]
+                            yield pa.RecordBatch.from_arrays(columns, names=_PAIR)
+
+            for span in spans(count):
+                l, r = ranges(first[span], count[span])
+                l += span.start
+                near, edits = known.near(l_entry[l] % n, r_entry[r] % n)
+                yield from rows_of(l[near], r[near], edits)
+            if known.long.any():
+                long, number = {texts[w] for w in np.flatnonzero(known.long)}, {w: i for i, w in enumerate(texts)}
+                for s in np.unique(spot[known.long[word]]):
+                    sides = [{texts[e % n] for e in entry[np.searchsorted(entry, s * n) : np.searchsorted(entry, s * n + n)]} for entry in (l_entry, r_entry)]
+                    near_long = [(s * n + number[a], s * n + number[b], e) for (a, b), e in _near_long(forms, *sides, long).items() if a != b and not (whole[s] and number[a] > number[b])]
+                    l, r, edits = np.array(near_long, np.int64).reshape(-1, 3).T
+                    yield from rows_of(np.searchsorted(l_entry, l), np.searchsorted(r_entry, r), edits)
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "piece", "i", "j", "side", "key", "word", "kind")]
-            for shard, piece, i, j, *row in zip(*columns):
-                if (shard, piece, i, j) != last:
-                    if len(rows) > 1:
-                        yield from meet(rows)
-                    last, rows = (shard, piece, i, j), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from meet(rows)
-        if out[0]:
-            yield emitted()
+            at = batch.column("spot")
+            if sum(map(len, held)) + len(batch) >= ROWS and at[0] != at[-1]:
+                last = int(np.flatnonzero(pc.not_equal(at[1:], at[:-1]).to_numpy(zero_copy_only=False))[-1]) + 1
+                yield from meet(pa.Table.from_batches([*held, batch[:last]]))
+                held = [batch[last:]]
+            elif len(batch):
+                held.append(batch)
+        if held:
+            yield from meet(pa.Table.from_batches(held))
 
     tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    at = ["shard", "piece", "i", "j"]
-    dealt = placed.select(*at, "side", "key", "word", "kind").repartition(tasks, *at).sortWithinPartitions(*at)  # few bytes, much work: not to be coalesced
+    spots = placed.select(F.concat_ws("\x1f", "shard", "piece", "i", "j").alias("spot"), "side", "key", "word", "kind")
+    dealt = spots.repartition(tasks, "spot").sortWithinPartitions("spot")  # few bytes, much work: not to be coalesced
     return dealt.mapInArrow(run, "key_a string, key_b string, edits int, kind_a string, kind_b string")
 
 
@@ -302,7 +338,7 @@ def near_rows(left: DataFrame, right: DataFrame | None, forms: Forms, compatible
         return _met(rows.withColumns(plain), own, forms, compatible)
     few = _met(rows.join(crowded, "shard", "left_anti").withColumns(plain), own, forms, compatible)
     many = rows.join(crowded, "shard", "left_semi")
-    near = _near_in_cuts(many.groupBy("shard", "word").agg(F.bit_or("side").alias("side")) if own else many.select("shard", "side", "word").distinct(), own, forms, part)
+    near = cut(_near_in_cuts(many.groupBy("shard", "word").agg(F.bit_or("side").alias("side")) if own else many.select("shard", "side", "word").distinct(), own, forms, part))  # read three times
     on = lambda side: many.where(F.col("side").bitwiseAND(F.lit(side)) > 0)
     asked = split_join(near.withColumnRenamed("a", "word"), on(LEFT).drop("side"), ["shard", "word"]).select("shard", F.col("b").alias("word"), "edits", F.col("word").alias("a"), F.col("key").alias("key_a"), F.col("kind").alias("kind_a"))
     pairs = split_join(asked, on(RIGHT).select("shard", "word", F.col("key").alias("key_b"), F.col("kind").alias("kind_b")), ["shard", "word"]).where(same(F.col("kind_a"), F.col("kind_b")))

@@ -39,8 +39,8 @@ FIELDS = (
 )
 #: Keys of one name that are handled as one row when a class is written out in pairs.
 CHUNK = 500
-#: Rows of a town beyond which its names are cut into pieces.
-TOWN = 8000
+#: Rows of a town beyond which its names are cut into pieces; one task compares 20,000 words with as many in some 20 s.
+TOWN = 40_000
 
 
 @lru_cache(100_000)
@@ -92,6 +92,12 @@ def same_kind(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "") | part
 
 
+def headed(rows: DataFrame) -> DataFrame:
+    """Rows with the ``head`` that stands for all rows equal in all but their key: the smallest key of them."""
+    same = rows.withColumn("same", F.md5(F.to_json(F.struct(*[c for c in rows.columns if c != "key"])).cast("binary")))
+    return split_join(same, same.groupBy("same").agg(F.min("key").alias("head")), ["same"]).drop("same")
+
+
 def candidate_links(left: DataFrame, right: DataFrame | None = None, town: int = TOWN) -> DataFrame:
     """``key_a, key_b, edits, kind_a, kind_b``: rows of near names and compatible kinds, within ``left`` those that share a place token.
 
@@ -109,14 +115,11 @@ def candidate_links(left: DataFrame, right: DataFrame | None = None, town: int =
         return named(tokens, F.concat_ws("\x1e", "block", "token"), F.col("token"))
 
     if right is None:
-        same = F.md5(F.to_json(F.struct(*[c for c in left.columns if c != "key"])).cast("binary"))
-        named_rows = left.where(F.size("readings") > 0).withColumn("same", same)
-        first = named_rows.groupBy("same").agg(F.min("key").alias("head"))
-        headed = cut(split_join(named_rows, first, ["same"]).drop("same"))
-        heads = headed.where(F.col("key") == F.col("head"))
+        equal = cut(headed(left.where(F.size("readings") > 0)))
+        heads = equal.where(F.col("key") == F.col("head"))
         met = near_rows(at_places(heads), None, wide_spellings, compatible, same_kind)
         kind = F.array_max(F.col("readings.kind"))
-        met = met.unionByName(headed.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"), kind.alias("kind_a"), kind.alias("kind_b")))
+        met = met.unionByName(equal.where(F.col("key") != F.col("head")).select(F.col("head").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"), kind.alias("kind_a"), kind.alias("kind_b")))
     else:
         whole = F.col("block").cast("string")
         met = near_rows(named(left, whole), named(right, whole), spellings, compatible, same_kind, town)
