@@ -1,6 +1,7 @@
-"""Similarity join of short strings by traversing one trie along another.
+"""Similarity join of short strings of a shard.
 
-Rows lie in shards, such as a town or a token of a place in a town. The strings of a
+Rows lie in shards, such as a town or a token of a place in a town. Their strings are
+compared by columns (``edits``); long ones by traversing one trie along another: those of a
 shard are a trie; those asked for form a trie as well, walked depth first: each of its
 nodes keeps the nodes of the other trie within the edit bound of its prefix (the states
 of a Levenshtein automaton), computed from those of its parent, so that common prefixes
